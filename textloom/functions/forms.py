@@ -36,20 +36,22 @@ def squeezed(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def bare_with_offsets(text: str) -> tuple[str, list[int]]:
-    """The bare form and, for each of its characters, the offset in ``text`` it came from.
+def bare_with_offsets(text: str) -> tuple[str, list[int], list[int]]:
+    """The bare form and, for each of its characters, where the cluster of ``text`` it came from starts and ends.
 
     Works cluster by cluster (a base character with its marks or conjoining
     letters), as normalisation acts within those.
     """
     out: list[str] = []
-    where: list[int] = []
+    starts: list[int] = []
+    ends: list[int] = []
     start = 0
 
     def flush(end: int) -> None:
         piece = bare(text[start:end])
         out.append(piece)
-        where.extend([start] * len(piece))
+        starts.extend([start] * len(piece))
+        ends.extend([end] * len(piece))
 
     for i, c in enumerate(text):
         joins = "ᅠ" <= c <= "ᇿ" or "ﾞ" <= c <= "ﾟ" or unicodedata.category(c)[0] == "M"
@@ -57,7 +59,7 @@ def bare_with_offsets(text: str) -> tuple[str, list[int]]:
             flush(i)
             start = i
     flush(len(text))
-    return "".join(out), where
+    return "".join(out), starts, ends
 
 
 def mix(h: np.ndarray) -> np.ndarray:
