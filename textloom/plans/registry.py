@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from textloom.session import shipping
+
 _MODULES: list = []
 
 
 def queries() -> dict:
-    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+    return {name: shipping(f) for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:

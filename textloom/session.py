@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +61,31 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 def tokenizer_dir() -> str:
     """Folder of the public tokenizer files; TEXTLOOM_TOKENIZERS overrides the default."""
     return os.environ.get("TEXTLOOM_TOKENIZERS", "/opt/tokenizers")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let every executor import this package, wherever it was started; once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_textloom_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="textloom-"), "textloom.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(here):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    context.addPyFile(target)
+    context._textloom_shipped = True
+
+
+def shipping(query):
+    """The same query, run with the package available on the executors."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
