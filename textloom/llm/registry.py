@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from textloom.llm import leakage
+from textloom.llm import leakage, neardup
+from textloom.session import shipping
 
-_MODULES = [leakage]
+_MODULES = [leakage, neardup]
 
 
 def queries() -> dict:
-    return {name: f for m in _MODULES for name, f in vars(m).items() if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
+    return {name: shipping(f) for m in _MODULES for name, f in vars(m).items() if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
 
 
 def oracles() -> dict[str, str]:
