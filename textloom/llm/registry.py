@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.llm import leakage, neardup
+from textloom.llm import crosssplit, leakage, neardup
 from textloom.session import shipping
 
-_MODULES = [leakage, neardup]
+_MODULES = [leakage, neardup, crosssplit]
 
 
 def queries() -> dict:
