@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,13 +51,34 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """The same rows, written once to the shared folder so that no later stage recomputes them."""
+_written: list[tuple[SparkSession, str]] = []
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written once as a table in the shared folder so that no later stage recomputes them.
+
+    The table is columnar and compressed, so later stages read only the columns
+    they use; it outlives lost executors and goes when the driver ends or
+    ``release`` is called.
+    """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=eager)
+    path = f"{shared_dir(spark).rstrip('/')}/textloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not _written:
+        atexit.register(release)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Delete the tables that ``cut`` wrote; results that still read them must have been used up."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session is gone, and its folder is the cluster's to clean
+            continue
 
 
 def tokenizer_dir() -> str:
