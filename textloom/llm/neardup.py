@@ -3,7 +3,7 @@
 Documents are compared as sets of ``k``-character runs of their squeezed text.
 
 1. Each text gets a content hash, the number of its distinct runs, bands of a
-   one-permutation min-hash, and two bitmaps of sampled runs.  Equal texts
+   one-permutation min-hash, and a bitmap of sampled runs.  Equal texts
    become one class, represented by its smallest id.
 2. Classes that share a band fall into one bucket.  In each bucket the bitmaps
    are compared tile by tile with exclusive-or and bit counts; tile pairs whose
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions.forms import batches_by_size, runs_by_text, squeezed
+from textloom.functions.sketches import OnePermutation, distinct_sorted
 from textloom.operators.components import connected_components
 from textloom.session import cut, table
 
@@ -42,76 +43,40 @@ BITS = 512
 SAMPLED = 128
 TILE = 1024
 COPIES = 64
-_BINS = BANDS * BAND_ROWS
+_HALF = BITS // 2
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _probes() -> np.ndarray:
-    """For each empty bin, in which order other bins are tried."""
-    rng = np.random.default_rng(7)
-    return np.stack([rng.permutation(_BINS) for _ in range(_BINS)])
-
-
-_PROBES = _probes()
-# Bin of a hash: its top 32 bits scaled to the number of bins; the least hash of each bin.
-_EDGES = np.array([(b << 64) // _BINS + bool((b << 64) % _BINS) for b in range(_BINS)], dtype=np.uint64)
+_SKETCH = OnePermutation(BANDS * BAND_ROWS)
 
 
 def distinct_runs(texts: list[str], k: int = K) -> list[np.ndarray]:
     """Sorted distinct run hashes of each (already squeezed) text."""
-    out = []
-    for h in runs_by_text(texts, k):
-        h = np.sort(h)
-        out.append(h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h)
-    return out
-
-
-def minhash_bands(runs: list[np.ndarray]) -> np.ndarray:
-    """Band keys (texts x BANDS) of non-empty run sets; empty bins borrow from probed ones."""
-    least = np.empty((len(runs), _BINS), np.uint64)
-    empty = np.empty((len(runs), _BINS), bool)
-    upper = np.append(_EDGES[1:], np.uint64(0xFFFFFFFFFFFFFFFF))
-    for i, h in enumerate(runs):
-        at = np.searchsorted(h, _EDGES)
-        v = h[np.minimum(at, len(h) - 1)]
-        empty[i] = (at == len(h)) | (v >= upper)
-        least[i] = v
-    full = ~empty
-    missing = empty.copy()
-    for t in range(_BINS):
-        if not missing.any():
-            break
-        src = _PROBES[:, t]
-        rows, cols = np.nonzero(missing & full[:, src])
-        least[rows, cols] = least[rows, src[cols]] + np.uint64(0x9E3779B97F4A7C15) * (cols.astype(np.uint64) + np.uint64(1))
-        missing[rows, cols] = False
-    least = least.reshape(len(runs), BANDS, BAND_ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)[None, :] * _ODD
-    for r in range(BAND_ROWS):
-        key = (key ^ least[:, :, r]) * _ODD
-        key ^= key >> np.uint64(29)
-    return key
+    return [distinct_sorted(h) for h in runs_by_text(texts, k)]
 
 
 def bitmaps(runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Size class of each run set, and its two presence bitmaps (texts x 2 x BITS/64).
+    """Size class of each run set, and its presence bitmap (texts x BITS/64).
 
-    Class c holds sets of 2^c to 2^(c+1) runs.  The first bitmap samples so that
-    2^c runs give SAMPLED ones, the second half as many, to meet the next class.
+    Class c holds sets of 2^c to 2^(c+1) runs and samples at the rate that gives
+    SAMPLED of 2^c.  The half of the sample that the next class's rate keeps fills
+    the first half of the bitmap, the rest the second; so a set meets the next
+    class by its first half against that class's two halves folded together.
     """
     level = np.array([len(h).bit_length() - 1 for h in runs], np.int16)
-    maps = np.zeros((len(runs), 2, BITS // 64), np.uint64)
-    shift = np.uint64(64 - (BITS.bit_length() - 1))
+    maps = np.zeros((len(runs), BITS // 64), np.uint64)
+    shift = np.uint64(64 - (_HALF.bit_length() - 1))
     for i, h in enumerate(runs):
-        for j in (0, 1):
-            c = int(level[i]) + j
-            chosen = h if (1 << c) <= SAMPLED else h[: np.searchsorted(h, np.uint64((SAMPLED << 64 >> c) - 1))]
-            bit = (chosen * _ODD) >> shift
-            np.bitwise_or.at(maps[i, j], (bit >> np.uint64(6)).astype(np.intp), np.uint64(1) << (bit & np.uint64(63)))
+        c = int(level[i])
+        chosen = h if (1 << c) <= SAMPLED else h[: np.searchsorted(h, np.uint64((SAMPLED << 64 >> c) - 1))]
+        kept = len(chosen) if (2 << c) <= SAMPLED else np.searchsorted(chosen, np.uint64((SAMPLED << 63 >> c) - 1))
+        bit = (chosen * _ODD) >> shift
+        bit[kept:] += np.uint64(_HALF)
+        np.bitwise_or.at(maps[i], (bit >> np.uint64(6)).astype(np.intp), np.uint64(1) << (bit & np.uint64(63)))
     return level, maps
 
 
-_FEATURES = "key long, content binary, runs int, level short, bits binary, bands array<long>"
+_FEATURES = "key long, content binary, runs int, level short, bits binary, bands array<int>"
 
 
 def _features(batches):
@@ -124,7 +89,7 @@ def _features(batches):
                 continue
             runs = distinct_runs([plain[i] for i in chosen])
             level, maps = bitmaps(runs)
-            bands = minhash_bands(runs).view(np.int64)
+            bands = (_SKETCH.bands(runs, BAND_ROWS) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([keys[a + i] for i in chosen], pa.int64()),
@@ -132,7 +97,7 @@ def _features(batches):
                     pa.array([len(h) for h in runs], pa.int32()),
                     pa.array(level, pa.int16()),
                     pa.array([m.tobytes() for m in maps], pa.binary()),
-                    pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64())),
+                    pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int32())),
                 ],
                 names=["key", "content", "runs", "level", "bits", "bands"],
             )
@@ -143,8 +108,13 @@ def within_radius(level, runs, maps, i: np.ndarray, j: np.ndarray, similarity: f
     top = np.maximum(level[i], level[j])
     near = (np.abs(level[i] - level[j]) <= 1) & (np.minimum(runs[i], runs[j]) >= similarity * np.maximum(runs[i], runs[j]))
     i, j, top = i[near], j[near], top[near]
-    x = maps[i, top - level[i]] ^ maps[j, top - level[j]]
-    apart = np.bitwise_count(x).sum(axis=1, dtype=np.int32)
+    half = BITS // 128
+    same = level[i] == level[j]
+    x, y = maps[i], maps[j]
+    low_i, low_j = (level[i] < top)[:, None], (level[j] < top)[:, None]
+    x = np.where(same[:, None], x, np.concatenate([np.where(low_i, x[:, :half], x[:, :half] | x[:, half:]), np.zeros_like(x[:, half:])], axis=1))
+    y = np.where(same[:, None], y, np.concatenate([np.where(low_j, y[:, :half], y[:, :half] | y[:, half:]), np.zeros_like(y[:, half:])], axis=1))
+    apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int32)
     rate = np.minimum(1.0, SAMPLED / np.exp2(top))
     mean = (1 - similarity) / (1 + similarity) * (runs[i].astype(np.float64) + runs[j]) * rate
     most = np.where(rate < 1, mean + 5 * np.sqrt(mean) + 2, mean)
@@ -176,7 +146,7 @@ def _tiles(similarity: float):
         group = np.cumsum(np.concatenate(([0], (bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1]))))
         side, key = t.column("side").to_numpy(), t.column("key").to_numpy()
         level, runs = t.column("level").to_numpy().astype(np.intp), t.column("runs").to_numpy()
-        maps = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(key), 2, BITS // 64)
+        maps = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(key), BITS // 64)
         seen = []
         for i, j in pairs_of(group, side):
             ok = within_radius(level, runs, maps, i, j, similarity)
@@ -204,9 +174,8 @@ def _tiles(similarity: float):
     return run
 
 
-def _tiled(members: DataFrame, sizes: DataFrame, similarity: float, tile: int) -> DataFrame:
+def _tiled(joined: DataFrame, similarity: float, tile: int) -> DataFrame:
     """Rows (bucket, pair, side, ...) of every tile pair that its population counts don't rule out."""
-    joined = members.join(sizes, "bucket")
     cold = joined.where(F.col("n") <= tile).select("bucket", F.lit(0).cast("long").alias("pair"), F.lit(2).cast("byte").alias("side"), *_ROW)
     hot = joined.where(F.col("n") > tile)
     # Position of each population count in its bucket, from the bounded histogram of counts.
@@ -276,18 +245,19 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     members = found.select("key", "content").join(classes, "content").select("key", "class", "copies")
     reps = found.join(classes.select(F.col("class").alias("key")), "key", "left_semi")
 
-    banded = reps.select("key", F.explode("bands").alias("bucket"))
+    banded = reps.select("key", F.posexplode("bands").alias("band", "value"))
+    banded = banded.select("key", F.expr("shiftleft(cast(band as bigint), 32) + value").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     signed = reps.select(*_ROW, _population("bits").alias("pop"))
-    rows = banded.join(sizes.select("bucket"), "bucket", "left_semi").join(signed, "key")
-    tiles = _tiled(rows, sizes, similarity, tile)
+    rows = banded.join(sizes, "bucket").join(signed, "key")
+    tiles = _tiled(rows, similarity, tile)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = tiles.repartition(parts, "bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(_tiles(similarity), "a long, b long").distinct()
     return members, _verified(near, texts, similarity)
 
 
 def _population(column: str):
-    """Bits set in the first bitmap, by its eight-byte words."""
+    """Bits set in a bitmap, by its eight-byte words."""
     words = [F.conv(F.hex(F.substring(F.col(column), 8 * w + 1, 8)), 16, -10).cast("long") for w in range(BITS // 64)]
     total = F.bit_count(words[0])
     for w in words[1:]:
