@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.llm import crosssplit, leakage, neardup
+from textloom.llm import crosssplit, leakage, mixing, neardup, packing, quota
 from textloom.session import shipping
 
-_MODULES = [leakage, neardup, crosssplit]
+_MODULES = [leakage, neardup, crosssplit, quota, packing, mixing]
 
 
 def queries() -> dict:
