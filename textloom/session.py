@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import os
 import tempfile
 import uuid
@@ -64,6 +65,9 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/textloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # Shuffle files of what came before go once the driver's collector finds them unused.
+    gc.collect()
+    spark._jvm.System.gc()
     if not _written:
         atexit.register(release)
     _written.append((spark, path))
