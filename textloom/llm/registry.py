@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.llm import crosssplit, leakage, mixing, neardup, packing, quota, sentences
+from textloom.llm import crosssplit, leakage, mixing, neardup, packing, pii, quota, sentences
 from textloom.session import shipping
 
-_MODULES = [leakage, neardup, crosssplit, sentences, quota, packing, mixing]
+_MODULES = [leakage, neardup, crosssplit, sentences, quota, packing, mixing, pii]
 
 
 def queries() -> dict:
