@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from textloom.plans import q_lines
 from textloom.session import shipping
 
-_MODULES: list = []
+_MODULES = [q_lines]
 
 
 def queries() -> dict:
@@ -16,4 +17,5 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Documents leaking held-out units, by language and source."""
+    return q_lines.contamination_units(spark, sf_dir)
