@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.plans import q_lines
+from textloom.plans import q_lines, q_records
 from textloom.session import shipping
 
-_MODULES = [q_lines]
+_MODULES = [q_lines, q_records]
 
 
 def queries() -> dict:
