@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.plans import q_lines, q_records
+from textloom.plans import q_lines, q_records, q_scores
 from textloom.session import shipping
 
-_MODULES = [q_lines, q_records]
+_MODULES = [q_lines, q_records, q_scores]
 
 
 def queries() -> dict:
