@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.plans import q_lines, q_records, q_scores
+from textloom.plans import q_joins, q_lines, q_records, q_scores, q_tables
 from textloom.session import shipping
 
-_MODULES = [q_lines, q_records, q_scores]
+_MODULES = [q_lines, q_records, q_scores, q_joins, q_tables]
 
 
 def queries() -> dict:
