@@ -56,7 +56,7 @@ def segment_rollup(spark, d):
 
 def part_cube(spark, d):
     (p,) = _t(spark, d, "part")
-    return p.cube("p_brand", "p_size").agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 2).alias("price"))
+    return p.cube("p_brand", "p_size").agg(F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 2).alias("price"))
 
 
 def customer_top_orders(spark, d):
@@ -165,7 +165,7 @@ ORACLES = {
         SELECT coalesce(c_nationkey, s_nationkey) AS nation, customers, suppliers FROM (SELECT c_nationkey, count(*) AS customers FROM customer WHERE c_acctbal < 0 GROUP BY 1)
         FULL JOIN (SELECT s_nationkey, count(*) AS suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) ON c_nationkey = s_nationkey""",
     "segment_rollup": "SELECT c_mktsegment, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ROLLUP (c_mktsegment, o_orderstatus)",
-    "part_cube": "SELECT p_brand, p_size, count(*) AS n, round(avg(p_retailprice), 2) AS price FROM part GROUP BY CUBE (p_brand, p_size)",
+    "part_cube": "SELECT p_brand, p_size, count(*) AS n, round(sum(p_retailprice), 2) AS price FROM part GROUP BY CUBE (p_brand, p_size)",
     "customer_top_orders": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders QUALIFY r <= 2",
     "order_gaps": """
         SELECT o_custkey, max(gap) AS longest_gap, round(max(running), 2) AS spent FROM (SELECT o_custkey, date_diff('day', lag(o_orderdate) OVER w::DATE, o_orderdate::DATE) AS gap,
