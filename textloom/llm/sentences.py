@@ -29,7 +29,7 @@ from textloom.session import table
 # Abbreviations that may stand before a capital letter, by language.
 ABBREVIATIONS = {
     "en": "st mr mrs ms dr prof rev gen col sgt capt lt jr sr no nos vol vols fig figs pp p ch chs cf vs ver approx ave rd blvd mt ft dept ed eds e.g i.e p.o u.s u.k n.b q.v viz inc ltd co ref tel ext",
-    "de": "vgl abb bzw ca nr bestellnr tel z.b d.h u.a z.t o.ä s.o s.u dr prof hr fr hrn st str kap bd abs art aufl hrsg verf geb gest ggf evtl inkl zzgl bspw sog max min ing dipl jh",
+    "de": "z d u s o i vgl abb bzw ca nr bestellnr tel z.b d.h u.a z.t o.ä s.o s.u dr prof hr fr hrn st str kap bd abs art aufl hrsg verf geb gest ggf evtl inkl zzgl bspw sog max min ing dipl jh",
     "fr": "art no n chap cf p pp env ex p.ex c.-à-d mm mme mlle dr pr st ste av bd fig vol éd trad tél réf éq boul coll resp",
     "es": "art núm pág págs fig aprox tel tlf ej p.ej sr sra srta sres d dña dr dra ud uds avda av cap vol ed depto prov izq dcha núms c.p ee uu",
     "ru": "см рис с стр ок т.е е напр тел г ул пр просп пл пер бул д кв корп стр им проф акад др тов гр руб коп гл п т табл изд ред обл р рр гг в вв",
