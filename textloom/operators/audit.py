@@ -76,9 +76,10 @@ def wrong_joiners(texts: DataFrame, lines: DataFrame, key: str = "id", text: str
 
     The rest of the text is met with lines by their first ``head`` characters, then in full.
     """
-    at = F.sequence(F.lit(2), F.greatest(F.length(text) - 1, F.lit(2)))
-    gaps = F.filter(at, lambda i: F.substring(F.col(text), i - 1, 3).rlike("^[\\x{3400}-\\x{9FFF}] [\\x{3400}-\\x{9FFF}]$"))
-    rest = texts.where(F.length(text) >= 3).select(key, F.explode(gaps).alias("i"), text).select(key, "i", F.col(text).substr(F.col("i") + 1, F.lit(1 << 30)).alias("rest"))
+    ideograph = "[\\x{3400}-\\x{9FFF}]"
+    parts = F.split(text, f"(?<={ideograph}) (?={ideograph})")
+    cut = texts.select(key, parts.alias("p")).where(F.size("p") > 1).select(key, "p", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("n"))
+    rest = cut.select(key, (F.length(F.array_join(F.slice("p", F.lit(1), F.col("n")), " ")) + 1).alias("i"), F.array_join(F.slice("p", F.col("n") + 1, F.size("p")), " ").alias("rest"))
     known = lines.select(F.col("line")).where(F.length("line") >= head).distinct().withColumn("h", F.substring("line", 1, head))
     return rest.withColumn("h", F.substring("rest", 1, head)).join(known, "h").where(F.startswith("rest", "line")).select(key, "i").distinct()
 
