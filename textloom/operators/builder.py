@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as t
 from pyspark.sql.window import Window
 
 from textloom.functions import text as T
+from textloom.operators.sampling import hash_rank
 
 Transcribe = Callable[[str, str], "tuple[str | None, str | None]"]
 _RESULT = t.StructType([t.StructField("braille", t.StringType()), t.StructField("reason", t.StringType())])
@@ -88,7 +89,7 @@ def snippet(text: Column, lang: Column, n: Column, u: Column) -> Column:
 
 def mixed(segments: DataFrame, k: int, seed: str, key: str = "id") -> DataFrame:
     """(doc, k segments): segments in groups of k of different tables: sorted by hash within each table, met by rank."""
-    ranked = segments.withColumn("_r", F.row_number().over(Window.partitionBy("table_id").orderBy(T.uniform(seed, key), key)))
+    ranked = hash_rank(segments, ["table_id"], seed, key, "_r")
     slot = F.row_number().over(Window.partitionBy("_r").orderBy(T.uniform(seed, "table_id"), "table_id")) - 1
     grouped = ranked.withColumn("_g", F.floor(slot / k))
     docs = grouped.groupBy("_r", "_g").agg(F.array_sort(F.collect_list(F.struct("table_id", "text", key))).alias("segments")).where(F.size("segments") == k)
@@ -105,13 +106,12 @@ def spread_lines(lines: DataFrame, needs: DataFrame, accepts: DataFrame, seed: s
     """
     offers = accepts.join(needs, "table").withColumn("_k", -F.log(T.uniform(seed, "line", "table")) / F.col("need"))
     picked = offers.groupBy("line").agg(F.min_by(F.struct("table", "need"), F.struct("_k", "table")).alias("p")).select("line", "p.*")
-    w = Window.partitionBy("table").orderBy(T.uniform(seed + "2", "line"), "line")
-    return picked.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= F.col("need")).select("line", "table")
+    return hash_rank(picked, ["table"], seed + "2", "line", "_at").where(F.col("_at") <= F.col("need")).select("line", "table")
 
 
 def filled(candidates: DataFrame, stratum: str, target: DataFrame, seed: str, key: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, shortfall): up to the target of each stratum in hash order, and the strata that fell short."""
-    ranked = candidates.join(target, stratum).withColumn("_at", F.row_number().over(Window.partitionBy(stratum).orderBy(T.uniform(seed, key), key)))
+    ranked = hash_rank(candidates.join(target, stratum), [stratum], seed, key, "_at")
     accepted = ranked.where(F.col("_at") <= F.col("target")).drop("_at", "target")
     got = accepted.groupBy(stratum).agg(F.count("*").alias("got"))
     short = target.join(got, stratum, "left").select(stratum, "target", F.coalesce("got", F.lit(0)).alias("got")).where("got < target")

@@ -79,11 +79,21 @@ def word_ngrams(lines: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
 
 
 def running_distinct(rows: DataFrame, group: str, order: list[str], value: str, target: int) -> DataFrame:
-    """Rows of each group up to the one with which the number of distinct values reaches the target."""
-    first = rows.withColumn("_new", (F.row_number().over(Window.partitionBy(group, value).orderBy(*order)) == 1).cast("int"))
-    return first.withColumn("distinct_so_far", F.sum("_new").over(Window.partitionBy(group).orderBy(*order))).where(
-        (F.col("distinct_so_far") < target) | ((F.col("distinct_so_far") == target) & (F.col("_new") == 1))
-    ).drop("_new")
+    """Rows of each group up to the one with which the number of distinct values reaches the target.
+
+    The first places of the values are found by an aggregate, the target-th of
+    them by partial tops, so only rows up to it are numbered.
+    """
+    place = F.struct(*order)
+    firsts = rows.groupBy(group, value).agg(F.min(place).alias("_first"))
+    part = Window.partitionBy(group, F.pmod(F.xxhash64(value), F.lit(64))).orderBy("_first")
+    few = firsts.withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= target).drop("_r")
+    whole = Window.partitionBy(group).orderBy("_first")
+    first = few.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= target)
+    last = first.groupBy(group).agg(F.max("_first").alias("_last"))
+    read = rows.join(last, group).where(place <= F.col("_last")).drop("_last")
+    marked = read.join(first.select(group, value, "_first"), [group, value], "left").withColumn("_new", (F.col("_first") == place).cast("int"))
+    return marked.withColumn("distinct_so_far", F.sum("_new").over(Window.partitionBy(group).orderBy(*order))).select(*rows.columns, "distinct_so_far")
 
 
 def reject_reasons(rows: DataFrame, rules: list[tuple[str, "F.Column"]]) -> DataFrame:

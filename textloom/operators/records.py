@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from textloom.functions import text as T
+from textloom.operators.ranking import ordered_rank
 
 # Enumerations of the record schema.
 FORMS_ID = "^u1-[A-Za-z0-9]+-[0-9]{7}$"
@@ -64,5 +64,5 @@ def schema_errors(records: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame, group: str, order: list[str], prefix: str) -> DataFrame:
     """A sequence id per group in the given order."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("seq_id", F.concat(F.lit(prefix), F.col(group), F.lit("-"), F.lpad(n.cast("string"), 7, "0")))
+    ranked = ordered_rank(rows, [group], order, out="_n")
+    return ranked.withColumn("seq_id", F.concat(F.lit(prefix), F.col(group), F.lit("-"), F.lpad(F.col("_n").cast("string"), 7, "0"))).drop("_n")

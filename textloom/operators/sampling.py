@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import text as T
+from textloom.operators.ranking import spread_rank
 
 
 def largest_remainder(groups: DataFrame, total: int, weight: str, key: str) -> DataFrame:
@@ -18,8 +19,10 @@ def largest_remainder(groups: DataFrame, total: int, weight: str, key: str) -> D
 
 
 def hash_rank(rows: DataFrame, group: list[str], seed: str, key: str, out: str = "rank") -> DataFrame:
-    """Rank within each group by the seeded hash of the key."""
-    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(T.uniform(seed, key), key)))
+    """Rank within each group by the seeded hash of the key; a group may hold any share of the rows."""
+    text = F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))
+    ordered = rows.withColumn("_u", F.shiftleft(F.conv(F.substring(F.sha1(text), 1, 13), 16, 10).cast("bigint"), 11))
+    return spread_rank(ordered, group, "_u", key, out=out).drop("_u")
 
 
 def stratified(rows: DataFrame, strata: list[str], n: int, seed: str, key: str) -> DataFrame:

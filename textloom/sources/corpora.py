@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import text as T
+from textloom.operators.ranking import ordered_rank
+from textloom.operators.sampling import hash_rank
 
 PAIRS_SCHEMA = "document struct<id:string>, parallel array<struct<id:string,src:string,tgt:string>>"
 
@@ -48,15 +50,14 @@ def article_shards(articles: DataFrame, order: str, sentences: str, lang: str, f
 
     The boundary is where the running number of sentences reaches the target.
     """
-    so_far = F.sum(F.size(sentences)).over(Window.partitionBy(lang).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    n = F.coalesce(so_far, F.lit(0))
-    return articles.withColumn("shard", F.when(n < first_target, "B").when(n < first_target + second_target, "A"))
+    n = ordered_rank(articles.withColumn("_size", F.size(sentences)), [lang], [order], out="_before_it", value="_size")
+    shard = F.when(F.col("_before_it") < first_target, "B").when(F.col("_before_it") < first_target + second_target, "A")
+    return n.withColumn("shard", shard).drop("_size", "_before_it")
 
 
 def capped(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
     """At most ``most`` distinct keys of each group, in hash order."""
-    one = rows.dropDuplicates([group, key])
-    return one.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(T.uniform("cap", key), key))).where(F.col("_r") <= most).drop("_r")
+    return hash_rank(rows.dropDuplicates([group, key]), [group], "cap", key, "_r").where(F.col("_r") <= most).drop("_r")
 
 
 def normalised_for(lang: str, text: str):
