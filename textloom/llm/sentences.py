@@ -102,7 +102,8 @@ def _period_ends(line: str, start: int, end: int, nxt: int, abbreviations: froze
                 return False
             if c == "upper":
                 after = _script(line[nxt + 1]) if nxt + 1 < len(line) else "other"
-                if p not in ("lower", "digit", "other") or not (after in ("lower", "mark") or line[nxt + 1 : nxt + 2] in (" ", "'", "’")):
+                shouted = p == "upper" and re.search(r"[^\W\d_]{2}$", line[max(0, start - 2) : start])
+                if (p not in ("lower", "digit", "other") and not shouted) or not (after in ("lower", "mark") or line[nxt + 1 : nxt + 2] in (" ", "'", "’")):
                     return False
             elif c in ("hangul", "arabic"):
                 return p == c or p == "other"
