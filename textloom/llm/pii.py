@@ -61,7 +61,7 @@ _ADDRESS = [
         # English
         rf"(?:(?:Apt|Flat|Unit|Suite)\.? \w{{1,4}}, )?(?:P\.? ?O\.? Box \d+|\d{{1,5}}[A-Za-z]? (?:(?:{_CAP}|St\.)\s){{1,4}}(?:Street|Avenue|Road|Drive|Lane|Way|Court|Place|Square|Terrace|Row|Close|Boulevard|Crescent|(?:St|Ave|Rd|Dr|Ln|Ct|Blvd)\b\.?)(?:,? (?:Apt|Flat|Unit|Suite)\.? \w{{1,4}})?)(?:, {_CAP})?(?:,? (?:ZZ \d{{5}}|[A-Z]{{1,2}}\d[A-Z\d]? \d[A-Z]{{2}}))?",
         # German
-        rf"(?:(?:Am|An der|Auf dem|Auf der|Im|In der|Zum|Zur|Unter den) {_CAP}|(?:(?:Alte[rns]?|Neue[rns]?|Große|Kleine|Hohe) )?{_CAP[:-1]}*(?:straße|strasse|str\.|weg|allee|gasse|platz|ring|ufer|damm|steig|markt|stieg|pfad)|(?:Alte|Neue) {_CAP}) \d{{1,4}} ?[a-z]?\b(?:, (?:D-)?\d{{5}} {_CAP}|, {_CAP})?",
+        rf"(?:Am|An der|Auf dem|Auf der|Im|In der|Zum|Zur|Unter den) {_CAP} \d{{1,4}} ?[a-z]?, (?:(?:D-)?\d{{5}} )?{_CAP}|(?:(?:(?:Alte[rns]?|Neue[rns]?|Große|Kleine|Hohe) )?{_CAP[:-1]}*(?:straße|strasse|str\.|weg|allee|gasse|platz|ring|ufer|damm|steig|markt|stieg|pfad)|(?:Alte|Neue) {_CAP}) \d{{1,4}} ?[a-z]?\b(?:, (?:D-)?\d{{5}} {_CAP}|, {_CAP})?",
         # French
         rf"\d{{1,4}}(?: (?:bis|ter|quater))?,? (?:rue|avenue|av\.|bd\.?|boulevard|impasse|place|allée|chemin|quai|cours|route|square|passage) (?:(?:des?|du|de la|de l['’]|d['’]) ?)?{_CAP}(?: {_CAP})*(?:, (?:\d{{5}} )?{_CAP})?",
         # Spanish
@@ -69,7 +69,7 @@ _ADDRESS = [
         # Russian
         r"(?:\d{6}, )?(?:г\. ?[А-ЯЁ][\w\-]*, )?(?:ул\.|пр\.|просп\.|пер\.|пл\.|наб\.|бул\.|ш\.) ?[А-ЯЁ][\w\-]*(?: [а-яё]+)?, (?:д\. ?)?\d+\w?(?:, (?:корп|стр|кв)\. ?\d+)*(?:, (?:\d{6} )?(?:г\. ?)?[А-ЯЁ][\w\-]*)?",
         # Korean: postal code or town or a mark of the address is required
-        r"(?:[(（]\d{5}[)）] ?)?(?:[가-힣]+(?:도|특별시|광역시) )?[가-힣]+[시군] (?:[가-힣]+[구읍면] )?[가-힣]+(?:대로|로|길)(?: ?\d+번길)? \d+(?:-\d+)?(?:, ?(?:\d+동 )?(?:지하 )?\d+층(?: \d+호)?|, ?\d+동 \d+호)?",
+        r"(?:[(（]\d{5}[)）] ?)?(?:[가-힣]+(?:도|특별시|광역시) )?[가-힣]{2,}[시군] (?:[가-힣]+[구읍면] )?[가-힣]+(?:대로|로|길)(?: ?\d+번길)? \d+(?:-\d+)?(?:, ?(?:\d+동 )?(?:지하 )?\d+층(?: \d+호)?|, ?\d+동 \d+호)?",
         # Japanese
         r"〒?(?:\d{3}[-－‐]\d{4} ?)?(?:(?<=\d )|(?<=[^ァ-ヶー一-龥々\d]))(?:[ァ-ヶー一-龥々]+?[都道府県])?[ァ-ヶー一-龥々]+?[市区町村郡][ァ-ヶー一-龥々]*?(?:\d+丁目(?:\d+番(?:地)?(?:\d+号?)?|\d+(?:-\d+)*)?|\d+番地?(?:\d+号?)?|\d+-\d+(?:-\d+)?)(?:号)?",
         # Chinese
