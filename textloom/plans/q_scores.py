@@ -114,7 +114,7 @@ def best_alpha(spark, d):
 def micro_macro_summary(spark, d):
     s = _scores(spark, d).where("cer is not null")
     return s.groupBy("model", "decoding").agg(
-        F.count("*").alias("n"), F.round(S.micro("edit", "n_ref"), 9).alias("micro_cer"), F.round(F.avg("cer"), 9).alias("macro_cer"), F.sum((F.col("edit") == 0).cast("bigint")).alias("exact"),
+        F.count("*").alias("n"), F.round(S.micro("edit", "n_ref"), 9).alias("micro_cer"), F.round(F.avg("cer"), 12).alias("macro_cer"), F.sum((F.col("edit") == 0).cast("bigint")).alias("exact"),
         F.sum(F.col("fallback").cast("bigint")).alias("fallbacks"), F.sum((F.col("cer") > 2).cast("bigint")).alias("runaway"),
     )
 
@@ -122,7 +122,7 @@ def micro_macro_summary(spark, d):
 def order_statistics(spark, d):
     s = _scores(spark, d).where("cer is not null").withColumn("cer", F.round("cer", 6))
     out = S.order_statistics(s, ["model"], "cer")
-    return out.select("model", "n", "median", "p90", F.round("trimmed", 7).alias("trimmed"))
+    return out.select("model", "n", "median", "p90", F.round("trimmed", 12).alias("trimmed"))
 
 
 def grouped_rates(spark, d):
@@ -132,7 +132,7 @@ def grouped_rates(spark, d):
 
 
 def long_metrics(spark, d):
-    s = _scores(spark, d).groupBy("model").agg(F.round(S.micro("edit", "n_ref"), 9).alias("cer"), F.round(S.micro("edit_st", "n_ref"), 9).alias("cer_st"), F.round(F.avg("bcer"), 9).alias("bcer"))
+    s = _scores(spark, d).groupBy("model").agg(F.round(S.micro("edit", "n_ref"), 9).alias("cer"), F.round(S.micro("edit_st", "n_ref"), 9).alias("cer_st"), F.round(F.avg("bcer"), 12).alias("bcer"))
     return S.long_metrics(s, ["model"], ["cer", "cer_st", "bcer"])
 
 
@@ -254,15 +254,15 @@ ORACLES = {
         p AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY alpha, id ORDER BY round(score, 9) DESC NULLS LAST, idx) = 1)
         SELECT alpha, round(avg(cer), 6) AS cer FROM p GROUP BY alpha ORDER BY cer, alpha LIMIT 1""",
     "micro_macro_summary": f"""
-        SELECT model, decoding, count(*) AS n, round(sum(edit) / sum(n_ref), 9) AS micro_cer, round(avg(cer), 9) AS macro_cer, sum((edit = 0)::INT)::BIGINT AS exact, sum(fallback::INT)::BIGINT AS fallbacks,
+        SELECT model, decoding, count(*) AS n, round(sum(edit) / sum(n_ref), 9) AS micro_cer, round(avg(cer), 12) AS macro_cer, sum((edit = 0)::INT)::BIGINT AS exact, sum(fallback::INT)::BIGINT AS fallbacks,
             sum((cer > 2)::INT)::BIGINT AS runaway FROM ({_SCORES}) WHERE cer IS NOT NULL GROUP BY 1, 2""",
     "order_statistics": f"""
         WITH s AS (SELECT model, round(cer, 6) AS cer, row_number() OVER (PARTITION BY model ORDER BY round(cer, 6)) - 1 AS r, count(*) OVER (PARTITION BY model) AS n FROM ({_SCORES}) WHERE cer IS NOT NULL)
         SELECT model, count(*) AS n, max(cer) FILTER (r = floor(n / 2)) AS median, max(cer) FILTER (r = floor(n * 0.9::DOUBLE)) AS p90,
-            round(avg(cer) FILTER (r >= floor(n * 0.05::DOUBLE) AND r < floor(n * 0.95::DOUBLE)), 7) AS trimmed FROM s GROUP BY model""",
+            round(avg(cer) FILTER (r >= floor(n * 0.05::DOUBLE) AND r < floor(n * 0.95::DOUBLE)), 12) AS trimmed FROM s GROUP BY model""",
     "grouped_rates": f"SELECT model, decoding, table_id, count(*) AS n, sum(edit)::BIGINT AS edits, sum(n_ref)::BIGINT AS refs FROM ({_SCORES}) GROUP BY GROUPING SETS ((model), (model, decoding), (table_id), ())",
     "long_metrics": f"""
-        UNPIVOT (SELECT model, round(sum(edit) / sum(n_ref), 9) AS cer, round(sum(edit_st) / sum(n_ref), 9) AS cer_st, round(avg(bcer), 9) AS bcer FROM ({_SCORES}) GROUP BY model)
+        UNPIVOT (SELECT model, round(sum(edit) / sum(n_ref), 9) AS cer, round(sum(edit_st) / sum(n_ref), 9) AS cer_st, round(avg(bcer), 12) AS bcer FROM ({_SCORES}) GROUP BY model)
         ON cer, cer_st, bcer INTO NAME metric VALUE value""",
     "metric_pivot": f"""
         SELECT model, round(sum(edit) FILTER (decoding = 'greedy') / sum(n_ref) FILTER (decoding = 'greedy'), 9) AS greedy, round(sum(edit) FILTER (decoding = 'vbon20') / sum(n_ref) FILTER (decoding = 'vbon20'), 9) AS vbon20

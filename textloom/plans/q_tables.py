@@ -21,7 +21,7 @@ def pricing_summary(spark, d):
     li = li.where("l_shipdate <= timestamp_ntz '1998-09-02 00:00:00'")
     price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return li.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(price), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n")
+        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(price), 2).alias("revenue"), F.round(F.avg("l_discount"), 10).alias("avg_disc"), F.count("*").alias("n")
     )
 
 
@@ -90,7 +90,7 @@ def set_operations(spark, d):
 
 def event_props(spark, d):
     (e,) = _t(spark, d, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("k"), F.round(F.avg("value"), 6).alias("value"))
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("k"), F.round(F.avg("value"), 10).alias("value"))
 
 
 def event_daily(spark, d):
@@ -154,7 +154,7 @@ QUERIES = {
 _HOURLY = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 ORACLES = {
     "pricing_summary": """
-        SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
+        SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 10) AS avg_disc, count(*) AS n
         FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""",
     "nation_revenue": """
         SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
@@ -176,7 +176,7 @@ ORACLES = {
         WITH a AS (SELECT c_nationkey AS nation FROM customer WHERE c_acctbal < 0), b AS (SELECT s_nationkey AS nation FROM supplier)
         SELECT nation, 'both' AS op FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT DISTINCT nation, 'more_customers' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
         UNION ALL SELECT nation, 'suppliers_only' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
-    "event_props": "SELECT event_type, count(*) AS n, sum((props::JSON ->> '$.k')::BIGINT)::BIGINT AS k, round(avg(value), 6) AS value FROM events GROUP BY 1",
+    "event_props": "SELECT event_type, count(*) AS n, sum((props::JSON ->> '$.k')::BIGINT)::BIGINT AS k, round(avg(value), 10) AS value FROM events GROUP BY 1",
     "event_daily": "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "event_funnel": """
         SELECT user_id, floor((epoch_us(p) - epoch_us(v)) / 3600000000)::BIGINT AS hours FROM (SELECT user_id, min(ts) FILTER (event_type = 'view') AS v, min(ts) FILTER (event_type = 'purchase') AS p FROM events GROUP BY 1) WHERE v < p""",
