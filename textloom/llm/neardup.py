@@ -43,6 +43,7 @@ BITS = 512
 SAMPLED = 128
 TILE = 1024
 COPIES = 64
+CACHED = 2000
 _HALF = BITS // 2
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -219,12 +220,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     two = one.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
 
     def check(batches):
+        known: dict[int, np.ndarray] = {}  # run sets of texts met before; a text of a large group comes often
+
+        def runs_of(key: int, text: str) -> np.ndarray:
+            if key not in known:
+                if len(known) >= CACHED:
+                    known.clear()
+                known[key] = distinct_runs([squeezed(text)])[0]
+            return known[key]
+
         for batch in batches:
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
             kept = []
             for i, (x, y) in enumerate(zip(ta, tb)):
-                s, t = distinct_runs([squeezed(x), squeezed(y)])
-                both = len(np.intersect1d(s, t, assume_unique=True))
+                s, t = runs_of(a[i], x), runs_of(b[i], y)
+                if min(len(s), len(t)) < similarity * max(len(s), len(t)):
+                    continue
+                small, large = (s, t) if len(s) <= len(t) else (t, s)
+                at = np.searchsorted(large, small)
+                at[at == len(large)] = 0
+                both = int(np.count_nonzero(large[at] == small)) if len(large) else 0
                 if both and both / (len(s) + len(t) - both) >= similarity:
                     kept.append((a[i], b[i], both / (len(s) + len(t) - both)))
             cols = list(zip(*kept)) or [[], [], []]
