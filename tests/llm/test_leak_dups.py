@@ -150,6 +150,45 @@ def test_cross_split(spark, monkeypatch):
     assert X.record_pairs(*X.overlaps(df.limit(0))).count() == 0
 
 
+def links_by_force(rows):
+    """(train id, eval id) pairs of rows (id, split, code, text)."""
+    runs = {i: {bare(x)[k : k + 5] for k in range(len(bare(x)) - 4)} for i, _, _, x in rows}
+    sides = [[r for r in rows if (r[1] == "train") is train] for train in (True, False)]
+    return {(a[0], b[0]) for a in sides[0] for b in sides[1] if a[2] == b[2] and len(runs[a[0]] & runs[b[0]]) >= 0.6 * len(runs[a[0]] | runs[b[0]])}
+
+
+def random_text(rng, n):
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+
+def substituted(rng, t, times):
+    for _ in range(times):
+        i = rng.randrange(len(t))
+        t = t[:i] + rng.choice("abcdefghijklmnopqrstuvwxyz") + t[i + 1 :]
+    return t
+
+
+def found(spark, rows, **options):
+    df = spark.createDataFrame([(i, s, [c], "s", x) for i, s, c, x in rows], "id string, split string, tables array<string>, source string, text string")
+    return {(r["t_id"], r["e_id"]) for r in X.record_pairs(*X.overlaps(df), **options).collect()}
+
+
+def test_cross_split_hot_texts(spark):
+    rng, rows = random.Random(5), []
+    for b in range(12):  # every fingerprint that an evaluation text shares is hot
+        base = random_text(rng, (36, 60, 120, 80)[b % 4])
+        rows += [(f"t{b}-{i}", "train", "c", substituted(rng, base, len(base) // 22)) for i in range(30)]
+        rows += [(f"e{b}-{i}", "eval", "c", substituted(rng, base, len(base) // 30)) for i in range(6)]
+    want = links_by_force(rows)
+    got = found(spark, rows)
+    assert len(want) > 300 and got <= want and len(want - got) <= 0.002 * len(want), (len(got), len(want))
+
+
+def test_cross_split_tiles(spark, monkeypatch):
+    monkeypatch.setattr(X, "TILE", 3)
+    test_cross_split_hot_texts(spark)
+
+
 def test_alignment():
     a, b = bare(sentence(30)), bare(sentence(10))
     assert X.aligned(a, a) == (1.0, len(a))

@@ -3,13 +3,11 @@
 1. Every record's bare text becomes winnowing fingerprints: of each ``WINDOW``
    successive hashes of ``SEED``-character runs the least is selected.  Equal
    bare texts form one class.
-2. Classes of the two sides are joined on (fingerprint, shared code).  A
-   fingerprint whose sides would give more than ``HOT`` pairs is not used alone:
-   it is extended by the fingerprints after it (2, then 4 of them), so that stock
-   phrases stop matching everything while copied passages still match.  The last
-   level takes all pairs, however many.  Which fingerprints evaluation has, and
-   which are hot, is told by bit filters of a fixed size: a key that one holds by
-   chance is only joined or extended needlessly.
+2. Classes of the two sides are joined on (fingerprint, shared code), all pairs
+   of every fingerprint.  Those that would give more than ``HOT`` pairs go through
+   a join in tiles of ``TILE`` classes a side, the others through gathered rows.
+   Which fingerprints evaluation has, and which are hot, is told by bit filters
+   of a fixed size: a key that one holds by chance is only joined the other way.
 3. Of the joined pairs those whose sizes and one-bit min-hash sketches rule the
    similarity out (beyond five deviations) are left, the others are compared by
    text: shared fingerprints are chained collinearly and extended by alignment
@@ -35,7 +33,7 @@ from textloom.session import cut, table
 
 K, SIMILARITY, LEAST_CHARS = 5, 0.6, 20
 SEED, WINDOW, HOT = 9, 12, 16
-LEVELS = (1, 2, 4)
+TILE = 1024
 COPIES = 64
 FILTER_BITS = 1 << 25
 _CHUNK = 1 << 16
@@ -62,28 +60,36 @@ def _contents(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(4)), pa.array([xxhash.xxh3_128_digest(t) for t in plain], pa.binary())], names=_names(_LIGHT))
 
 
-def _features(batches):
-    for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for a, b in batches_by_size(texts, 400_000):
-            chosen, plain = _plain(texts[a:b])
-            if not chosen:
-                continue
-            runs = [distinct_sorted(h) for h in runs_by_text(plain, K)]
-            bits = _SKETCH.bits(runs).view(np.int64)
-            seeds = [h[winnowed(h, WINDOW)] for h in runs_by_text(plain, SEED)]
-            ends = np.cumsum([0] + [len(s) for s in seeds]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.take(pa.array([a + i for i in chosen])),
-                    pa.array([xxhash.xxh3_128_digest(t) for t in plain], pa.binary()),
-                    pa.array([len(h) for h in runs], pa.int32()),
-                    pa.array(bits[:, 0]),
-                    pa.array(bits[:, 1]),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(seeds).view(np.int64))),
-                ],
-                names=_names(_FEATURES),
-            )
+def fingerprints(runs: np.ndarray, seeds: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Distinct fingerprints of a text with the hashes ``seeds`` of its SEED-character runs."""
+    return distinct_sorted(seeds[winnowed(seeds, WINDOW)])
+
+
+def _features(similarity: float):
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for a, b in batches_by_size(texts, 400_000):
+                chosen, plain = _plain(texts[a:b])
+                if not chosen:
+                    continue
+                runs = [distinct_sorted(h) for h in runs_by_text(plain, K)]
+                bits = _SKETCH.bits(runs).view(np.int64)
+                seeds = [fingerprints(r, h, similarity) for r, h in zip(runs, runs_by_text(plain, SEED))]
+                ends = np.cumsum([0] + [len(s) for s in seeds]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.take(pa.array([a + i for i in chosen])),
+                        pa.array([xxhash.xxh3_128_digest(t) for t in plain], pa.binary()),
+                        pa.array([len(h) for h in runs], pa.int32()),
+                        pa.array(bits[:, 0]),
+                        pa.array(bits[:, 1]),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(seeds).view(np.int64))),
+                    ],
+                    names=_names(_FEATURES),
+                )
+
+    return run
 
 
 def _names(schema: str) -> list[str]:
@@ -91,20 +97,10 @@ def _names(schema: str) -> list[str]:
 
 
 def _keys(batch: pa.RecordBatch):
-    """Per side (train, eval): (row numbers, keys of each level) of all fingerprints under all codes of a batch of classes."""
-    seeds, parts = batch.column("seeds"), []
+    """Per side (train, eval): (row numbers, keys) of all fingerprints under all codes of a batch of classes; none comes twice."""
+    seeds = batch.column("seeds")
     values = seeds.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    size = np.diff(seeds.offsets.to_numpy())
-    row = np.repeat(np.arange(len(size)), size)
-    first = np.cumsum(size) - size
-    at = np.arange(len(values)) - first[row]
-    for n in LEVELS:
-        start = first[row] + np.minimum(at, np.maximum(size[row] - n, 0))
-        h = values[start] * np.uint64(n * 2 + 1)
-        for j in range(1, n):
-            inside = (start - first[row] + j) < size[row]
-            h = h * _STEP + np.where(inside, values[np.minimum(start + j, len(values) - 1)], np.uint64(0))
-        parts.append(h)
+    row = np.repeat(np.arange(len(seeds)), np.diff(seeds.offsets.to_numpy()))
     for name in ("train_codes", "eval_codes"):
         codes = batch.column(name)
         code = codes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
@@ -114,7 +110,7 @@ def _keys(batch: pa.RecordBatch):
         which = np.repeat(np.arange(len(row)), times)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
         c = code[code_first[row[which]] + nth]
-        yield row[which], [mix(h[which] ^ (c * _STEP)) for h in parts]
+        yield row[which], mix((values[which] * np.uint64(3)) ^ (c * _STEP))
 
 
 class KeyFilter:
@@ -154,12 +150,12 @@ class KeyFilter:
 
 
 _MARKED = "chunk int, bits binary"
-_NEEDED = ("cls", "runs", "s0", "seeds", "train_codes", "eval_codes")
+_NEEDED = ("cls", "runs", "s0", "s1", "seeds", "train_codes", "eval_codes")
 
 
 def _eval_filter(classes: DataFrame) -> KeyFilter:
-    """The first-level keys of all evaluation classes."""
-    marked = classes.where(F.size("eval_codes") > 0).select(*_NEEDED).mapInArrow(lambda batches: KeyFilter.mark(list(_keys(b))[1][1][0] for b in batches), _MARKED)
+    """The keys of all evaluation classes."""
+    marked = classes.where(F.size("eval_codes") > 0).select(*_NEEDED).mapInArrow(lambda batches: KeyFilter.mark(list(_keys(b))[1][1] for b in batches), _MARKED)
     return KeyFilter.of(marked)
 
 
@@ -167,35 +163,26 @@ def _key_filter(keys: DataFrame) -> KeyFilter:
     return KeyFilter.of(keys.mapInArrow(lambda batches: KeyFilter.mark(b.column(0).to_numpy().view(np.uint64) for b in batches), _MARKED))
 
 
-def _postings(classes: DataFrame, level: int, known, hot: list, cool: bool) -> DataFrame:
-    """(key, cls, size, s0): keys of a level of the fingerprints under each code of each side.
+def _postings(classes: DataFrame, known, hot=None, want_hot: bool = False) -> DataFrame:
+    """(key, cls, size, s0, s1): keys of the fingerprints under each code of each side.
 
-    ``size`` is the number of runs, negative on the evaluation side; ``s0`` is
-    half the sketch.  Training fingerprints that no evaluation class has are left
-    out at once; below the first level only those whose keys of all levels above
-    are hot are extended; with ``cool`` the level's own hot keys are left out.
+    ``size`` is the number of runs, negative on the evaluation side; ``s0`` and
+    ``s1`` are the sketch.  Training fingerprints that no evaluation class has are
+    left out at once; with ``hot`` only the keys that it holds, or doesn't, remain.
     """
 
     def emit(batches):
-        shared, above = known.value, [h.value for h in hot]
         for batch in batches:
-            cls, runs, s0 = (batch.column(c).to_numpy() for c in ("cls", "runs", "s0"))
-            for train, (row, keys) in zip((True, False), _keys(batch)):
-                keep = shared.holds(keys[0]) if train else np.ones(len(row), bool)
-                for n in range(level):
-                    keep &= above[n].holds(keys[n])
-                if cool:
-                    keep &= ~above[level].holds(keys[level])
-                row, key = row[keep], keys[level][keep]
-                if len(row):  # a fingerprint repeated in one text counts once
-                    order = np.lexsort((key, row))
-                    row, key = row[order], key[order]
-                    new = np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])))
-                    row, key = row[new], key[new]
+            cls, runs, s0, s1 = (batch.column(c).to_numpy() for c in ("cls", "runs", "s0", "s1"))
+            for train, (row, key) in zip((True, False), _keys(batch)):
+                keep = known.value.holds(key) if train else np.ones(len(row), bool)
+                if hot is not None:
+                    keep &= hot.value.holds(key) == want_hot
+                row, key = row[keep], key[keep]
                 size = runs[row] if train else -runs[row]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls[row]), pa.array(size), pa.array(s0[row])], names=["key", "cls", "size", "s0"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls[row]), pa.array(size), pa.array(s0[row]), pa.array(s1[row])], names=["key", "cls", "size", "s0", "s1"])
 
-    return classes.select(*_NEEDED).mapInArrow(emit, "key long, cls long, size int, s0 long")
+    return classes.select(*_NEEDED).mapInArrow(emit, "key long, cls long, size int, s0 long, s1 long")
 
 
 def _possible(t_size: Column, e_size: Column, sketches: list[tuple[Column, Column]], similarity: float) -> Column:
@@ -205,27 +192,35 @@ def _possible(t_size: Column, e_size: Column, sketches: list[tuple[Column, Colum
     return (F.least(t_size, e_size) >= similarity * F.greatest(t_size, e_size)) & (apart <= bits * p + 5 * (bits * p * (1 - p)) ** 0.5)
 
 
+def _tiled(postings: DataFrame, sides: DataFrame, similarity: float) -> DataFrame:
+    """(t, e) of all pairs of each key that may be similar; large keys are met in tiles, so that no task gets a whole one."""
+    tiles = lambda n: F.ceil(F.col(n) / TILE).cast("int")
+    large = cut(sides.where((F.col("nt") * F.col("ne") > TILE * TILE)).select("key", tiles("nt").alias("at"), tiles("ne").alias("ae")))
+    rows = postings.join(large, "key", "left").withColumns({"at": F.coalesce("at", F.lit(1)), "ae": F.coalesce("ae", F.lit(1))})
+    own, every = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    t = rows.where("size > 0").withColumn("i", own("at")).withColumn("j", every("ae"))
+    e = rows.where("size < 0").withColumn("j", own("ae")).withColumn("i", every("at"))
+    t, e = (x.select("key", "i", "j", *[F.col(c).alias(f"{n}_{c}") for c in ("cls", "size", "s0", "s1")]) for n, x in (("t", t), ("e", e)))
+    sketches = [(F.col("t_s0"), F.col("e_s0")), (F.col("t_s1"), F.col("e_s1"))]
+    met = t.join(e, ["key", "i", "j"]).where(_possible(F.col("t_size"), -F.col("e_size"), sketches, similarity))
+    return met.select(F.col("t_cls").alias("t"), F.col("e_cls").alias("e"))
+
+
 def candidate_pairs(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct (t, e) class pairs that share a fingerprint, or an extended one, under a shared code, and may be similar."""
+    """Distinct (t, e) class pairs that share a fingerprint under a shared code and may be similar."""
     context = classes.sparkSession.sparkContext
-    known, hot, parts = context.broadcast(_eval_filter(classes)), [], []
+    known = context.broadcast(_eval_filter(classes))
+    sides = _postings(classes, known).groupBy("key").agg(F.sum((F.col("size") > 0).cast("long")).alias("nt"), F.sum((F.col("size") < 0).cast("long")).alias("ne"))
+    # Keys of one side only are hot when they are many: they must not gather in one row.
+    many = cut(sides.where((F.col("nt") * F.col("ne") > HOT) | (F.col("nt") + F.col("ne") > 10 * HOT)))
+    hot = context.broadcast(_key_filter(many.select("key")))
     row = F.struct("cls", "size", "s0")
-    for level in range(len(LEVELS) - 1):
-        postings = _postings(classes, level, known, hot, False)
-        sides = postings.groupBy("key").agg(F.sum((F.col("size") > 0).cast("long")).alias("nt"), F.sum((F.col("size") < 0).cast("long")).alias("ne"))
-        # Keys of one side only are hot when they are many: they must not gather in one row.
-        hot.append(context.broadcast(_key_filter(sides.where((F.col("nt") * F.col("ne") > HOT) | (F.col("nt") + F.col("ne") > 10 * HOT)).select("key"))))
-        few = _postings(classes, level, known, hot, True).groupBy("key")
-        few = few.agg(F.collect_list(F.when(F.col("size") > 0, row)).alias("ts"), F.collect_list(F.when(F.col("size") < 0, row)).alias("es"))
-        met = few.where("size(ts) > 0 and size(es) > 0").select(F.explode("ts").alias("t"), "es").select("t", F.explode("es").alias("e"))
-        parts.append(cut(met.where(_possible(F.col("t.size"), -F.col("e.size"), [(F.col("t.s0"), F.col("e.s0"))], similarity)).select(F.col("t.cls").alias("t"), F.col("e.cls").alias("e")).distinct()))
-    last = _postings(classes, len(LEVELS) - 1, known, hot, False)
-    t, e = (last.where(f"size {c} 0").select("key", *[F.col(x).alias(f"{n}_{x}") for x in ("cls", "size", "s0")]) for c, n in ((">", "t"), ("<", "e")))
-    met = t.join(e, "key").where(_possible(F.col("t_size"), -F.col("e_size"), [(F.col("t_s0"), F.col("e_s0"))], similarity))
-    out = met.select(F.col("t_cls").alias("t"), F.col("e_cls").alias("e"))
-    for p in parts:
-        out = out.unionAll(p)
-    return out.where("t <> e").distinct()
+    few = _postings(classes, known, hot, False).groupBy("key")
+    few = few.agg(F.collect_list(F.when(F.col("size") > 0, row)).alias("ts"), F.collect_list(F.when(F.col("size") < 0, row)).alias("es"))
+    met = few.where("size(ts) > 0 and size(es) > 0").select(F.explode("ts").alias("t"), "es").select("t", F.explode("es").alias("e"))
+    cool = met.where(_possible(F.col("t.size"), -F.col("e.size"), [(F.col("t.s0"), F.col("e.s0"))], similarity)).select(F.col("t.cls").alias("t"), F.col("e.cls").alias("e"))
+    warm = _tiled(_postings(classes, known, hot, True), many, similarity)
+    return cool.unionAll(warm).where("t <> e").distinct()
 
 
 def aligned(a: str, b: str) -> tuple[float, int]:
@@ -311,7 +306,7 @@ def overlaps(records: DataFrame, *, similarity: float = SIMILARITY) -> tuple[Dat
         F.collect_list(F.when(F.col("train"), F.xxhash64("code"))).alias("train_codes"), F.collect_list(F.when(~F.col("train"), F.xxhash64("code"))).alias("eval_codes")
     )
     reps = found.groupBy("content").agg(F.min("id").alias("id")).join(codes, "content")
-    featured = base.select("id", "text").mapInArrow(_features, _FEATURES)
+    featured = base.select("id", "text").mapInArrow(_features(similarity), _FEATURES)
     classes = cut(featured.join(reps, ["id", "content"]).dropDuplicates(["id", "content"]).withColumn("cls", F.monotonically_increasing_id()))
     members = found.join(classes.select("content", "cls"), "content").drop("content").distinct()
 
