@@ -189,6 +189,28 @@ def test_cross_split_tiles(spark, monkeypatch):
     test_cross_split_hot_texts(spark)
 
 
+def test_copies_of_linked_texts_stay(spark):
+    rng = random.Random(7)
+    base = random_text(rng, 100)
+    near = base[:50] + "#x" + base[51:]
+    rows = [("t", "train", "c", base)] + [(f"e{i:02}", "eval", "c", near) for i in range(9)]
+    rows += [("u", "eval", "d", base)] + [(f"v{i:02}", "train", "d", near) for i in range(9)]
+    want = links_by_force(rows)
+    assert len(want) == 18 and found(spark, rows, copies=3) == want
+
+
+def test_report_counts_all_pairs(spark, tmp_path):
+    rng = random.Random(8)
+    base = random_text(rng, 100)
+    near = base[:50] + "x" + base[51:]
+    rows = [(f"t{i:03}", "train", ["c"], "s", base) for i in range(70)] + [(f"n{i}", "train", ["c", "d"], "s", near) for i in range(3)]
+    rows += [(f"e{i:03}", "eval", ["c"], "a" if i < 60 else "b", base) for i in range(80)] + [("d1", "dev", ["d", "c"], None, near), ("d1", "dev", ["d", "c"], None, base)]
+    folder = f"{tmp_path}/sf"
+    spark.createDataFrame(rows, "id string, split string, tables array<string>, source string, text string").write.parquet(f"{folder}/records.parquet")
+    got = {(r["split"], r["source"]): (r["pairs"], r["eval_records"], r["train_records"]) for r in X.p3_report(spark, folder).collect()}
+    assert got == {("eval", "a"): (60 * 73, 60, 73), ("eval", "b"): (20 * 73, 20, 73), ("dev", None): (73, 1, 73)}
+
+
 def test_alignment():
     a, b = bare(sentence(30)), bare(sentence(10))
     assert X.aligned(a, a) == (1.0, len(a))

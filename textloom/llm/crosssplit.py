@@ -335,9 +335,9 @@ def record_pairs(members: DataFrame, links: DataFrame, copies: int = COPIES) ->
     """Pairs (train id, eval id) that share a code, with similarity and coverage.
 
     A class with more than ``copies`` records on a side is drawn by its smallest
-    id per code on that side; where one text has that many records on either side,
-    each is paired with the other side's smallest id under the code.  Every record
-    and every link between different texts stays in the result.
+    id per code on that side; each of its other records is paired, for every class
+    that its own is linked to, with that class's smallest ids per code.  Every
+    record and every link stays in the result.
     """
     links = cut(links)
     linked = links.select(F.explode(F.array("t", "e")).alias("cls")).distinct()
@@ -353,8 +353,7 @@ def record_pairs(members: DataFrame, links: DataFrame, copies: int = COPIES) ->
         return links.join(left, "t").join(right, "e").where(F.arrays_overlap("t_codes", "e_codes"))
 
     drawn = meet(links, t.where("t_drawn"), e.where("e_drawn"))
-    same = links.where("t = e")
-    star = meet(same, t.where("t_least"), e.where("not e_drawn")).unionAll(meet(same, t.where("not t_drawn"), e.where("e_least")))
+    star = meet(links, t.where("t_least"), e.where("not e_drawn")).unionAll(meet(links, t.where("not t_drawn"), e.where("e_least")))
     return drawn.unionAll(star).select("t_id", "e_id", "t_source", "e_source", "similarity", "t_coverage", "e_coverage").dropDuplicates(["t_id", "e_id"])
 
 
@@ -363,18 +362,37 @@ def p3_found(spark, sf_dir) -> DataFrame:
     return pairs.select(F.least("t_id", "e_id").alias("id_a"), F.greatest("t_id", "e_id").alias("id_b"))
 
 
+def pair_counts(members: DataFrame, links: DataFrame, splits: DataFrame) -> DataFrame:
+    """Per split and source of the evaluation record: all pairs that share a code, their records on each side, mean coverage.
+
+    Counted without listing the pairs: records of one class, codes and source are
+    one group with a size, and groups meet where their classes are linked.  An id
+    that stands in several rows (other texts, codes or splits) is a group of its
+    own, so that it counts once.  splits: (id, split) of the evaluation records.
+    """
+    codes = F.array_sort("codes").alias("codes")
+    rows = members.where("train").select("cls", "id", codes, F.lit(None).cast("string").alias("split"), F.lit(None).cast("string").alias("source"), F.lit(True).alias("train"))
+    rows = cut(rows.unionAll(members.where("not train").join(splits, "id").select("cls", "id", codes, "split", "source", F.lit(False).alias("train"))).distinct())
+    again = rows.groupBy("train", "id").agg(F.count("*").alias("_n")).where("_n > 1").select("train", "id", F.col("id").alias("own"))
+    groups = rows.join(again, ["train", "id"], "left").groupBy("train", "cls", "codes", "split", "source", "own").agg(F.count("*").alias("n"))
+    number = F.when(F.col("own").isNull(), F.to_json(F.struct("cls", "codes", "split", "source"))).otherwise(F.concat(F.lit("="), "own"))
+    groups = cut(groups.withColumn("g", number))
+    t = groups.where("train").select(F.col("cls").alias("t"), F.col("codes").alias("t_codes"), F.col("g").alias("t_g"), F.col("n").alias("t_n"))
+    e = groups.where("not train").select(F.col("cls").alias("e"), F.col("codes").alias("e_codes"), F.col("g").alias("e_g"), F.col("n").alias("e_n"), "split", "source")
+    met = links.join(t, "t").join(e, "e").where(F.arrays_overlap("t_codes", "e_codes"))
+    by = ["split", "source"]
+    met = cut(met.groupBy(*by, "t_g", "e_g", "t_n", "e_n").agg(F.max("e_coverage").alias("c")))
+    pairs = met.groupBy(*by).agg(F.sum(F.col("t_n") * F.col("e_n")).alias("pairs"), F.sum(F.col("c") * F.col("t_n") * F.col("e_n")).alias("c"))
+    for side, name in (("e", "eval_records"), ("t", "train_records")):
+        each = met.select(*by, f"{side}_g", f"{side}_n").distinct().groupBy(*by).agg(F.sum(f"{side}_n").alias(name))
+        each = each.select(F.col("split").alias("_x"), F.col("source").alias("_y"), name)
+        pairs = pairs.join(each, F.col("split").eqNullSafe(F.col("_x")) & F.col("source").eqNullSafe(F.col("_y"))).drop("_x", "_y")
+    return pairs.select(*by, "pairs", "eval_records", "train_records", F.round(F.col("c") / F.col("pairs"), 4).alias("mean_coverage"))
+
+
 def p3_report(spark, sf_dir) -> DataFrame:
     """Overlaps per split and source of the evaluation record: pairs, records, coverage."""
     records = table(spark, sf_dir, "records")
-    pairs = record_pairs(*overlaps(records))
-    splits = records.where("split in ('dev', 'eval')").select(F.col("id").alias("e_id"), "split").distinct()
-    return (
-        pairs.join(splits, "e_id")
-        .groupBy("split", F.col("e_source").alias("source"))
-        .agg(
-            F.count("*").alias("pairs"),
-            F.countDistinct("e_id").alias("eval_records"),
-            F.countDistinct("t_id").alias("train_records"),
-            F.round(F.avg("e_coverage"), 4).alias("mean_coverage"),
-        )
-    )
+    members, links = overlaps(records)
+    splits = records.where("split in ('dev', 'eval')").select(F.col("id").cast("string").alias("id"), "split").distinct()
+    return pair_counts(members, cut(links), splits)
