@@ -189,6 +189,15 @@ def test_cross_split_tiles(spark, monkeypatch):
     test_cross_split_hot_texts(spark)
 
 
+def test_cross_split_short_texts(spark):
+    rng, rows = random.Random(6), []
+    for b in range(400):
+        base = random_text(rng, rng.randint(20, 40))
+        rows += [(f"t{b}", "train", "c", base), (f"e{b}", "dev", "c", substituted(rng, base, rng.choice((1, 1, 2))))]
+    want = links_by_force(rows)
+    assert len(want) > 100 and found(spark, rows) == want
+
+
 def test_copies_of_linked_texts_stay(spark):
     rng = random.Random(7)
     base = random_text(rng, 100)

@@ -1,8 +1,12 @@
 """Problem 3: records of evaluation splits that also stand, exactly or almost, in training.
 
 1. Every record's bare text becomes winnowing fingerprints: of each ``WINDOW``
-   successive hashes of ``SEED``-character runs the least is selected.  Equal
-   bare texts form one class.
+   successive hashes of ``SEED``-character runs the least is selected.  A short
+   text (up to ``SHORT`` distinct ``K``-character runs) may share no stretch that
+   long with a similar one, so pairs with one meet on ``K``-character runs: of
+   all of a text, the least hashes, as many as leave out no pair of the
+   similarity.  Texts that may meet both kinds have both.  Equal bare texts form
+   one class.
 2. Classes of the two sides are joined on (fingerprint, shared code), all pairs
    of every fingerprint.  Those that would give more than ``HOT`` pairs go through
    a join in tiles of ``TILE`` classes a side, the others through gathered rows.
@@ -21,6 +25,7 @@ empty ``tables`` share no code with anything.
 from __future__ import annotations
 
 import bisect
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +38,7 @@ from textloom.session import cut, table
 
 K, SIMILARITY, LEAST_CHARS = 5, 0.6, 20
 SEED, WINDOW, HOT = 9, 12, 16
-TILE = 1024
+SHORT, TILE = 60, 1024
 COPIES = 64
 FILTER_BITS = 1 << 25
 _CHUNK = 1 << 16
@@ -61,8 +66,14 @@ def _contents(batches):
 
 
 def fingerprints(runs: np.ndarray, seeds: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """Distinct fingerprints of a text with the hashes ``seeds`` of its SEED-character runs."""
-    return distinct_sorted(seeds[winnowed(seeds, WINDOW)])
+    """Distinct fingerprints of a text with the distinct, sorted hashes ``runs`` of its K-character runs and ``seeds`` of its SEED-character ones.
+
+    Two sets of the similarity share ``similarity`` of the larger one at least, so
+    the least hash in both is among those of either that remain beyond that share.
+    """
+    n = len(runs)
+    least = runs[: n - math.ceil(similarity * n - 1e-9) + 1] if n * similarity <= SHORT + 1e-9 else runs[:0]
+    return np.union1d(least, seeds[winnowed(seeds, WINDOW)]) if n > SHORT else least
 
 
 def _features(similarity: float):
