@@ -21,16 +21,16 @@ _SCORES = "SELECT DISTINCT * FROM score_rows QUALIFY row_number() OVER (PARTITIO
 
 
 def _pools(spark, d):
-    """Each pool once, by its candidates; scored against the record's text in ASCII projection."""
+    """Each pool once, by its candidates; scored against the record's whole text."""
     pools = table(spark, d, "cand_pools")
     return pools.groupBy("id").agg(F.min_by("cands", F.to_json("cands")).alias("cands"))
 
 
 def _scored(spark, d):
-    """(id, idx, text, lp, d, cer): d is a stand-in for the distance of cells, the distance of the ASCII projections."""
-    refs = _records(spark, d).select("id", T.ascii_only("text").alias("ref"))
+    """(id, idx, text, lp, d, cer): d is a stand-in for the distance of cells, the distance of the whole texts in code points."""
+    refs = _records(spark, d).select("id", F.col("text").alias("ref"))
     cands = S.candidates_long(_pools(spark, d)).join(refs, "id")
-    hyp = T.ascii_only("text")
+    hyp = F.col("text")
     return cands.withColumn("d", F.levenshtein("ref", hyp)).withColumn("cer", T.error_rate(F.col("ref"), hyp))
 
 
@@ -46,8 +46,8 @@ def _single(spark, d):
     """Pools that were delivered in one form only."""
     pools = table(spark, d, "cand_pools").withColumn("js", F.to_json("cands"))
     once = pools.groupBy("id").agg(F.count_distinct("js").alias("forms"), F.min_by("cands", "js").alias("cands")).where("forms = 1").drop("forms")
-    refs = _records(spark, d).select("id", T.ascii_only("text").alias("ref"))
-    hyp = T.ascii_only("text")
+    refs = _records(spark, d).select("id", F.col("text").alias("ref"))
+    hyp = F.col("text")
     return S.candidates_long(once).join(refs, "id").withColumn("d", F.levenshtein("ref", hyp)).withColumn("cer", T.error_rate(F.col("ref"), hyp))
 
 
