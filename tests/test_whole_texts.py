@@ -37,3 +37,9 @@ def test_candidates_are_scored_on_whole_texts(spark, tmp_path):
     assert rates["greedy"]["cer"] == round(sum(x[0] for x in cer.values()) / 3, 6)
     assert {r["id"]: r["reward"] for r in q_scores.reward_rule(spark, d).collect()} == {i: round(1 - x[0], 6) for i, x in cer.items()}
     assert q_scores.best_alpha(spark, d).collect()[0]["cer"] == rates["greedy"]["cer"]
+
+
+def test_retrieval_sees_the_whole_sentence(spark, tmp_path):
+    rows = [("q", "test", "a" * 60 + "bcdefgh"), ("x", "dev", "z" * 70 + "bcdefgh"), ("y", "dev", "aaaa")]
+    d = folder(spark, tmp_path, "nikl_pairs", rows, "id string, split string, src string")
+    assert [(r["item"], r["shared"]) for r in q_joins.retrieval_top3(spark, d).orderBy("rank").collect()] == [("x", 4), ("y", 1)]

@@ -20,7 +20,7 @@ def near_dup_shingles(spark, d):
 
 def retrieval_top3(spark, d):
     """Held-out sentences with the dev sentences that share most character 4-grams."""
-    p = table(spark, d, "nikl_pairs").where("src is not null").select("id", "split", F.substring("src", 1, 60).alias("t"))
+    p = table(spark, d, "nikl_pairs").where("src is not null").select("id", "split", F.col("src").alias("t"))
     q = p.where("split = 'test'")
     return J.gram_retrieval(q, p.where("split = 'dev'"), "id", "t").select("query", "item", "shared", F.col("rank").cast("bigint").alias("rank"))
 
