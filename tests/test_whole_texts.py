@@ -43,3 +43,13 @@ def test_retrieval_sees_the_whole_sentence(spark, tmp_path):
     rows = [("q", "test", "a" * 60 + "bcdefgh"), ("x", "dev", "z" * 70 + "bcdefgh"), ("y", "dev", "aaaa")]
     d = folder(spark, tmp_path, "nikl_pairs", rows, "id string, split string, src string")
     assert [(r["item"], r["shared"]) for r in q_joins.retrieval_top3(spark, d).orderBy("rank").collect()] == [("x", 4), ("y", 1)]
+
+
+def test_braille_is_compared_and_flipped_whole(spark, tmp_path):
+    cells = "⠁" * 200
+    rows = [(f"r{k}", "eval", [c], "t", b, AT, None) for k, (c, b) in enumerate([("a", cells + "⠃"), ("a", cells + "⠉"), ("b", cells + "⠃")])]
+    schema = "id string, split string, tables array<string>, text string, braille string, loaded_at timestamp, segments array<struct<table_id:string,text:string,braille:string>>"
+    d = folder(spark, tmp_path, "records", rows, schema)
+    got = {r["table_id"]: (r["pairs"], r["identical"]) for r in q_joins.shared_texts(spark, d).collect()}
+    assert got == {"a": (2, 1), "b": (2, 1)}
+    assert q_joins.dot_flip_audit(spark, d).collect()[0]["cells"] == 603

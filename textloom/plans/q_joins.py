@@ -34,7 +34,7 @@ def alias_rate(spark, d):
 
 def shared_texts(spark, d):
     """For each code: texts that it shares with other codes, how many have the same cells there, and how many other codes."""
-    s = R.segments_long(_records(spark, d)).where("braille is not null").select("table_id", "text", F.substring("braille", 1, 200).alias("b")).distinct()
+    s = R.segments_long(_records(spark, d)).where("braille is not null").select("table_id", "text", F.sha1("braille").alias("b")).distinct()
     o = s.select(F.col("table_id").alias("other"), "text", F.col("b").alias("ob"))
     met = s.join(o, "text").where("table_id <> other")
     near = met.withColumn("same", (F.col("b") == F.col("ob")).cast("int")).groupBy("table_id").agg(F.count("*").alias("pairs"), F.sum("same").alias("identical"), F.count_distinct("other").alias("others"))
@@ -61,7 +61,7 @@ def braille_ascii(spark, d):
 
 
 def dot_flip_audit(spark, d):
-    r = _records(spark, d).where("split = 'eval' and braille is not null").select("id", F.substring("braille", 1, 200).alias("b"))
+    r = _records(spark, d).where("split = 'eval' and braille is not null").select("id", F.col("braille").alias("b"))
     a = N.flips_audit(N.flipped(r, "id", "b", 0.02, "noise"), "id")
     return a.agg(F.count("*").alias("records"), F.sum("cells").alias("cells"), F.sum("changed").alias("changed"), F.sum("flips").alias("flips"))
 
