@@ -53,3 +53,9 @@ def test_braille_is_compared_and_flipped_whole(spark, tmp_path):
     got = {r["table_id"]: (r["pairs"], r["identical"]) for r in q_joins.shared_texts(spark, d).collect()}
     assert got == {"a": (2, 1), "b": (2, 1)}
     assert q_joins.dot_flip_audit(spark, d).collect()[0]["cells"] == 603
+
+
+def test_all_lines_are_joined(spark, tmp_path):
+    lines = [f"line number {k} of this document" for k in range(5)]
+    d = folder(spark, tmp_path, "documents", [(1, "s", "en", "\n".join(lines))], "doc_id long, source string, lang string, text string")
+    assert q_build.joined_lines(spark, d).collect()[0]["joined"] == hashlib.sha1(" ".join(lines).encode()).hexdigest()

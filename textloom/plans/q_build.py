@@ -47,10 +47,10 @@ def feasible_shares(spark, d):
 
 
 def joined_lines(spark, d):
-    """First three clean lines of each document, joined as its language joins sentences."""
+    """All clean lines of each document, joined as its language joins sentences."""
     lines = L.clean_lines(_doc_lines(spark, d)).where("lang is not null")
-    first = lines.groupBy("doc_id", "lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "line"))), 1, 3).alias("p"))
-    return first.select("doc_id", F.sha1(B.joined_sentences(F.lower(F.substring("lang", 1, 2)), F.transform("p", lambda s: s["line"]))).alias("joined"))
+    each = lines.groupBy("doc_id", "lang").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("p"))
+    return each.select("doc_id", F.sha1(B.joined_sentences(F.lower(F.substring("lang", 1, 2)), F.transform("p", lambda s: s["line"]))).alias("joined"))
 
 
 def snippets(spark, d):
