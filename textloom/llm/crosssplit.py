@@ -1,21 +1,22 @@
 """Problem 3: records of evaluation splits that also stand, exactly or almost, in training.
 
-1. Every record's bare text becomes winnowing fingerprints: of each ``WINDOW``
-   successive hashes of ``SEED``-character runs the least is selected.  A short
-   text (up to ``SHORT`` distinct ``K``-character runs) may share no stretch that
-   long with a similar one, so pairs with one meet on ``K``-character runs: of
-   all of a text, the least hashes, as many as leave out no pair of the
-   similarity.  Texts that may meet both kinds have both.  Equal bare texts form
-   one class.
+1. Every record's bare text becomes winnowing fingerprints: of each ``window``
+   successive hashes of ``SEED``-character runs the least is selected.  The window
+   follows from the number of distinct ``K``-character runs (``window_of``): it is
+   so small that a pair of the similarity has a stretch of common runs that
+   yields a fingerprint selected in both, short texts included.  Equal bare texts
+   form one class.
 2. Classes of the two sides are joined on (fingerprint, shared code), all pairs
-   of every fingerprint.  Those that would give more than ``HOT`` pairs go through
-   a join in tiles of ``TILE`` classes a side, the others through gathered rows.
-   Which fingerprints evaluation has, and which are hot, is told by bit filters
-   of a fixed size: a key that one holds by chance is only joined the other way.
-3. Of the joined pairs those whose sizes and one-bit min-hash sketches rule the
-   similarity out (beyond five deviations) are left, the others are compared by
-   text: shared fingerprints are chained collinearly and extended by alignment
-   for the coverage, and the share of common ``K``-character runs decides.
+   of every fingerprint.  Training fingerprints that evaluation hasn't are left out
+   by a bit filter of bounded size (one kept by chance joins with nothing).
+   Fingerprints that a sample shows to be heavy are joined in tiles of about
+   ``TILE`` classes a side, so that no task gets a whole one.
+3. Joined pairs whose sizes or one-bit min-hash sketches rule the similarity out
+   (beyond five deviations, those of small sets included) are left, and so are
+   pairs whose parity bitmaps differ in more bits than their sets may.  The others
+   are compared by text: the share of common ``K``-character runs decides, and of
+   linked pairs shared fingerprints are chained collinearly and extended by
+   alignment for the coverage.
 
 Null texts and bare texts under ``LEAST_CHARS`` take no part.  Records delivered
 again under one id count once; if their texts differ, each text counts.  Null or
@@ -25,6 +26,7 @@ empty ``tables`` share no code with anything.
 from __future__ import annotations
 
 import bisect
+import functools
 import math
 
 import numpy as np
@@ -37,18 +39,19 @@ from textloom.functions.sketches import OnePermutation, distinct_sorted, winnowe
 from textloom.session import cut, table
 
 K, SIMILARITY, LEAST_CHARS = 5, 0.6, 20
-SEED, WINDOW, HOT = 9, 12, 16
-SHORT, TILE = 60, 1024
-COPIES = 64
-FILTER_BITS = 1 << 25
+SEED, WINDOW = 9, 12
+TILE, SAMPLE, HEAVY = 1024, 64, 64
+COPIES, CACHED = 64, 2000
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 _CHUNK = 1 << 16
-_FILTER_SHIFT = np.uint64(64 - (FILTER_BITS.bit_length() - 1))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BINS = 128
+_MERGED = 256
+_BINS, _PARITIES = 128, 512
+_WORDS = _PARITIES // 64
 _SKETCH = OnePermutation(_BINS)
 
 _LIGHT = "id string, train boolean, codes array<string>, source string, content binary"
-_FEATURES = "id string, content binary, runs int, s0 long, s1 long, seeds array<long>"
+_FEATURES = "id string, content binary, runs int, s0 long, s1 long, parity array<long>, seeds array<long>"
 
 
 def _plain(texts: list[str]) -> tuple[list[int], list[str]]:
@@ -65,15 +68,42 @@ def _contents(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(4)), pa.array([xxhash.xxh3_128_digest(t) for t in plain], pa.binary())], names=_names(_LIGHT))
 
 
+@functools.lru_cache(4096)
+def window_of(n: int, similarity: float = SIMILARITY) -> int:
+    """Winnowing window of a text with ``n`` distinct K-character runs.
+
+    Texts of n and m <= n runs have at least o = s (n + m) / (1 + s) in common,
+    so the smaller misses m - o of the other's.  Where two common runs that follow
+    each other in one text don't do so in the other, at least K - 1 runs are
+    missed, so the common runs stand in at most (m - o) / (K - 1) + 1 stretches and
+    the longest has the average's length at least.  The window is the number of
+    SEED-character runs in that stretch.  Two texts may have different windows:
+    the smaller one selects all that the larger selects.  (Texts that repeat
+    their own runs may break the count; they are the only ones to.)
+    """
+    n = min(n, 512)  # beyond, the stretch no longer grows
+    least = n
+    for m in range(max(1, math.ceil(similarity * n - 1e-9)), int(n / similarity + 1e-9) + 1):
+        common = math.ceil(similarity * (n + m) / (1 + similarity) - 1e-9)
+        least = min(least, math.ceil(common / ((min(n, m) - common) // (K - 1) + 1)))
+    return max(1, min(WINDOW, least + K - SEED))
+
+
 def fingerprints(runs: np.ndarray, seeds: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """Distinct fingerprints of a text with the distinct, sorted hashes ``runs`` of its K-character runs and ``seeds`` of its SEED-character ones.
+    """Distinct fingerprints of a text with the distinct hashes ``runs`` of its K-character runs and ``seeds`` of its SEED-character ones."""
+    return np.unique(seeds[winnowed(seeds, window_of(len(runs), similarity))])
+
+
+def parities(runs: list[np.ndarray]) -> np.ndarray:
+    """For each set the parity of its number of hashes in each of _PARITIES ranges, packed (sets x _WORDS).
 
-    Two sets of the similarity share ``similarity`` of the larger one at least, so
-    the least hash in both is among those of either that remain beyond that share.
+    Each hash that only one of two sets has flips one bit, so the exclusive-or
+    never has more bits than the sets differ in.
     """
-    n = len(runs)
-    least = runs[: n - math.ceil(similarity * n - 1e-9) + 1] if n * similarity <= SHORT + 1e-9 else runs[:0]
-    return np.union1d(least, seeds[winnowed(seeds, WINDOW)]) if n > SHORT else least
+    of = np.repeat(np.arange(len(runs)), [len(h) for h in runs])
+    at = (np.concatenate(runs) * _STEP >> np.uint64(64 - _PARITIES.bit_length() + 1)).astype(np.intp)
+    odd = (np.bincount(of * _PARITIES + at, minlength=len(runs) * _PARITIES) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(runs), _PARITIES), axis=1, bitorder="little").view(np.uint64)
 
 
 def _features(similarity: float):
@@ -95,6 +125,7 @@ def _features(similarity: float):
                         pa.array([len(h) for h in runs], pa.int32()),
                         pa.array(bits[:, 0]),
                         pa.array(bits[:, 1]),
+                        pa.FixedSizeListArray.from_arrays(pa.array(parities(runs).ravel().view(np.int64)), _WORDS).cast(pa.list_(pa.int64())),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(seeds).view(np.int64))),
                     ],
                     names=_names(_FEATURES),
@@ -107,146 +138,161 @@ def _names(schema: str) -> list[str]:
     return [f.split()[0] for f in schema.split(", ")]
 
 
-def _keys(batch: pa.RecordBatch):
-    """Per side (train, eval): (row numbers, keys) of all fingerprints under all codes of a batch of classes; none comes twice."""
-    seeds = batch.column("seeds")
+def _keys(batch: pa.RecordBatch, codes: str):
+    """(row numbers, keys) of all fingerprints under all of the named codes of a batch of classes; none comes twice."""
+    seeds, codes = batch.column("seeds"), batch.column(codes)
     values = seeds.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     row = np.repeat(np.arange(len(seeds)), np.diff(seeds.offsets.to_numpy()))
-    for name in ("train_codes", "eval_codes"):
-        codes = batch.column(name)
-        code = codes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        number = np.diff(codes.offsets.to_numpy())
-        code_first = np.cumsum(number) - number
-        times = number[row]
-        which = np.repeat(np.arange(len(row)), times)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-        c = code[code_first[row[which]] + nth]
-        yield row[which], mix((values[which] * np.uint64(3)) ^ (c * _STEP))
+    code = codes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    number = np.diff(codes.offsets.to_numpy())
+    code_first = np.cumsum(number) - number
+    times = number[row]
+    which = np.repeat(np.arange(len(row)), times)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+    c = code[code_first[row[which]] + nth]
+    return row[which], mix((values[which] * np.uint64(3)) ^ (c * _STEP))
 
 
 class KeyFilter:
-    """FILTER_BITS bits: those of a set of keys.  It may hold keys outside the set, never misses one inside."""
+    """A bit for each hash range that holds a key of a set.  It may hold keys outside the set, never misses one inside."""
 
     def __init__(self, packed: np.ndarray) -> None:
         self.packed = packed
+        self.shift = np.uint64(64 - (8 * len(packed)).bit_length() + 1)
 
     @classmethod
-    def of(cls, marked: DataFrame) -> "KeyFilter":
-        """From rows (chunk, bits) of ``mark``; what comes to the driver has a fixed size."""
+    def of(cls, classes: DataFrame, codes: str) -> "KeyFilter":
+        """Of the keys of classes, with 16 bits a key up to MOST_BITS.
+
+        What comes to the driver is bounded, and no task gets the marks of all
+        partitions.
+        """
+        keys = classes.agg(F.sum(F.size("seeds").cast("long") * F.size(codes))).first()[0] or 0
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys).bit_length()))
+
+        def mark(batches):
+            filled = cls(np.zeros(bits // 8, np.uint8))
+            for batch in batches:
+                filled.add(_keys(batch, codes)[1])
+            packed = filled.packed.reshape(-1, _CHUNK)
+            used = np.flatnonzero(packed.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([packed[u].tobytes() for u in used], pa.binary())], names=["chunk", "bits"])
 
         def merge(pdf):
             import pandas as pd
 
             whole = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
-            return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "bits": [whole.tobytes()]})
+            return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "part": np.zeros(1, np.int32), "bits": [whole.tobytes()]})
 
-        out = np.zeros((FILTER_BITS // 8 // _CHUNK, _CHUNK), np.uint8)
-        for r in marked.groupBy("chunk").applyInPandas(merge, "chunk int, bits binary").toLocalIterator():
+        out = np.zeros((bits // 8 // _CHUNK, _CHUNK), np.uint8)
+        marked = classes.select("seeds", codes).mapInArrow(mark, "chunk int, bits binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(_MERGED))).select("chunk", "part", "bits")
+        parted = "chunk int, part int, bits binary"
+        merged = marked.groupBy("chunk", "part").applyInPandas(merge, parted).groupBy("chunk").applyInPandas(merge, parted)
+        for r in merged.toLocalIterator():
             out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
         return cls(out.reshape(-1))
 
-    @staticmethod
-    def mark(key_batches):
-        """Rows (chunk, bits) of the keys of one partition."""
-        bits = np.zeros(FILTER_BITS, bool)
-        for keys in key_batches:
-            bits[(keys >> _FILTER_SHIFT).astype(np.intp)] = True
-        packed = np.packbits(bits).reshape(-1, _CHUNK)
-        used = np.flatnonzero(packed.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([packed[u].tobytes() for u in used], pa.binary())], names=["chunk", "bits"])
+    def add(self, keys: np.ndarray) -> None:
+        bit = np.unique(keys >> self.shift)
+        byte, first = np.unique(bit >> np.uint64(3), return_index=True)
+        if len(bit):
+            self.packed[byte.astype(np.intp)] |= np.bitwise_or.reduceat(np.uint8(128) >> (bit & np.uint64(7)).astype(np.uint8), first)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        bit = keys >> _FILTER_SHIFT
+        bit = keys >> self.shift
         return (self.packed[(bit >> np.uint64(3)).astype(np.intp)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8))) & 1 > 0
 
 
-_MARKED = "chunk int, bits binary"
-_NEEDED = ("cls", "runs", "s0", "s1", "seeds", "train_codes", "eval_codes")
+def _postings(classes: DataFrame, codes: str, known=None, sample: bool = False) -> DataFrame:
+    """(key, cls, size, s0, s1): keys of the fingerprints under each of the named codes.
 
+    ``size`` is the number of runs, ``s0`` and ``s1`` are the first words of the
+    sketch.  With ``known`` only the keys that it holds remain, of a sample one
+    key and class of SAMPLE by hash.
+    """
 
-def _eval_filter(classes: DataFrame) -> KeyFilter:
-    """The keys of all evaluation classes."""
-    marked = classes.where(F.size("eval_codes") > 0).select(*_NEEDED).mapInArrow(lambda batches: KeyFilter.mark(list(_keys(b))[1][1] for b in batches), _MARKED)
-    return KeyFilter.of(marked)
-
+    def emit(batches):
+        for batch in batches:
+            cls, runs, s0, s1 = (batch.column(c).to_numpy() for c in ("cls", "runs", "s0", "s1"))
+            row, key = _keys(batch, codes)
+            keep = known.value.holds(key) if known is not None else np.ones(len(row), bool)
+            if sample:
+                keep &= mix(key ^ (cls[row].view(np.uint64) * _STEP)) % np.uint64(SAMPLE) == 0
+            row, key = row[keep], key[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(x[row]) for x in (cls, runs, s0, s1))], names=["key", "cls", "size", "s0", "s1"])
 
-def _key_filter(keys: DataFrame) -> KeyFilter:
-    return KeyFilter.of(keys.mapInArrow(lambda batches: KeyFilter.mark(b.column(0).to_numpy().view(np.uint64) for b in batches), _MARKED))
+    return classes.where(F.size(codes) > 0).select("cls", "runs", "s0", "s1", "seeds", codes).mapInArrow(emit, "key long, cls long, size int, s0 long, s1 long")
 
 
-def _postings(classes: DataFrame, known, hot=None, want_hot: bool = False) -> DataFrame:
-    """(key, cls, size, s0, s1): keys of the fingerprints under each code of each side.
+def _possible(t_size: Column, e_size: Column, apart: Column, bits: int, similarity: float) -> Column:
+    """Sizes and the number of different sketch bits allow the similarity, within five deviations.
 
-    ``size`` is the number of runs, negative on the evaluation side; ``s0`` and
-    ``s1`` are the sketch.  Training fingerprints that no evaluation class has are
-    left out at once; with ``hot`` only the keys that it holds, or doesn't, remain.
+    Bins differ as often as the sets do, give or take what a sample of the smaller
+    set's size varies; of the differing ones half have another bit.
     """
+    p, small = (1 - similarity) / 2, F.least(t_size, e_size)
+    spread = F.sqrt(bits * p * (1 - p) + (bits / 2) ** 2 * similarity * (1 - similarity) / small)
+    return (small >= similarity * F.greatest(t_size, e_size)) & (apart <= bits * p + 5 * spread)
+
+
+def _apart(*pairs: tuple[Column, Column]) -> Column:
+    return functools.reduce(lambda a, b: a + b, [F.bit_count(x.bitwiseXOR(y)) for x, y in pairs])
 
-    def emit(batches):
-        for batch in batches:
-            cls, runs, s0, s1 = (batch.column(c).to_numpy() for c in ("cls", "runs", "s0", "s1"))
-            for train, (row, key) in zip((True, False), _keys(batch)):
-                keep = known.value.holds(key) if train else np.ones(len(row), bool)
-                if hot is not None:
-                    keep &= hot.value.holds(key) == want_hot
-                row, key = row[keep], key[keep]
-                size = runs[row] if train else -runs[row]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls[row]), pa.array(size), pa.array(s0[row]), pa.array(s1[row])], names=["key", "cls", "size", "s0", "s1"])
-
-    return classes.select(*_NEEDED).mapInArrow(emit, "key long, cls long, size int, s0 long, s1 long")
-
-
-def _possible(t_size: Column, e_size: Column, sketches: list[tuple[Column, Column]], similarity: float) -> Column:
-    """Sizes and the given 64-bit parts of the sketches allow the similarity, within five deviations."""
-    bits, p = 64 * len(sketches), (1 - similarity) / 2
-    apart = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in sketches[1:]), F.bit_count(sketches[0][0].bitwiseXOR(sketches[0][1])))
-    return (F.least(t_size, e_size) >= similarity * F.greatest(t_size, e_size)) & (apart <= bits * p + 5 * (bits * p * (1 - p)) ** 0.5)
-
-
-def _tiled(postings: DataFrame, sides: DataFrame, similarity: float) -> DataFrame:
-    """(t, e) of all pairs of each key that may be similar; large keys are met in tiles, so that no task gets a whole one."""
-    tiles = lambda n: F.ceil(F.col(n) / TILE).cast("int")
-    large = cut(sides.where((F.col("nt") * F.col("ne") > TILE * TILE)).select("key", tiles("nt").alias("at"), tiles("ne").alias("ae")))
-    rows = postings.join(large, "key", "left").withColumns({"at": F.coalesce("at", F.lit(1)), "ae": F.coalesce("ae", F.lit(1))})
-    own, every = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    t = rows.where("size > 0").withColumn("i", own("at")).withColumn("j", every("ae"))
-    e = rows.where("size < 0").withColumn("j", own("ae")).withColumn("i", every("at"))
-    t, e = (x.select("key", "i", "j", *[F.col(c).alias(f"{n}_{c}") for c in ("cls", "size", "s0", "s1")]) for n, x in (("t", t), ("e", e)))
-    sketches = [(F.col("t_s0"), F.col("e_s0")), (F.col("t_s1"), F.col("e_s1"))]
-    met = t.join(e, ["key", "i", "j"]).where(_possible(F.col("t_size"), -F.col("e_size"), sketches, similarity))
-    return met.select(F.col("t_cls").alias("t"), F.col("e_cls").alias("e"))
+
+def _heavy(classes: DataFrame, known) -> DataFrame:
+    """(key, at, ae): tiles of each side for the keys that a sample shows to be large on both or either."""
+    sides = [_postings(classes, codes, known, sample=True).select("key", F.lit(n).alias("t")) for codes, n in (("train_codes", 1), ("eval_codes", 0))]
+    counts = sides[0].unionAll(sides[1]).groupBy("key").agg(F.sum("t").alias("nt"), F.sum(1 - F.col("t")).alias("ne"))
+    tiles = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) * (SAMPLE / TILE)).cast("int"))
+    return cut(counts.where(F.greatest("nt", "ne") >= HEAVY).select("key", tiles("nt").alias("at"), tiles("ne").alias("ae")))
 
 
 def candidate_pairs(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Distinct (t, e) class pairs that share a fingerprint under a shared code and may be similar."""
-    context = classes.sparkSession.sparkContext
-    known = context.broadcast(_eval_filter(classes))
-    sides = _postings(classes, known).groupBy("key").agg(F.sum((F.col("size") > 0).cast("long")).alias("nt"), F.sum((F.col("size") < 0).cast("long")).alias("ne"))
-    # Keys of one side only are hot when they are many: they must not gather in one row.
-    many = cut(sides.where((F.col("nt") * F.col("ne") > HOT) | (F.col("nt") + F.col("ne") > 10 * HOT)))
-    hot = context.broadcast(_key_filter(many.select("key")))
-    row = F.struct("cls", "size", "s0")
-    few = _postings(classes, known, hot, False).groupBy("key")
-    few = few.agg(F.collect_list(F.when(F.col("size") > 0, row)).alias("ts"), F.collect_list(F.when(F.col("size") < 0, row)).alias("es"))
-    met = few.where("size(ts) > 0 and size(es) > 0").select(F.explode("ts").alias("t"), "es").select("t", F.explode("es").alias("e"))
-    cool = met.where(_possible(F.col("t.size"), -F.col("e.size"), [(F.col("t.s0"), F.col("e.s0"))], similarity)).select(F.col("t.cls").alias("t"), F.col("e.cls").alias("e"))
-    warm = _tiled(_postings(classes, known, hot, True), many, similarity)
-    return cool.unionAll(warm).where("t <> e").distinct()
+    known = classes.sparkSession.sparkContext.broadcast(KeyFilter.of(classes.where(F.size("eval_codes") > 0), "eval_codes"))
+    heavy = _heavy(classes, known)
+
+    def side(name: str, codes: str) -> DataFrame:
+        """Postings of one side; those of a heavy key have their own tile and meet all tiles of the other side."""
+        own, other = ("at", "ae") if name == "t" else ("ae", "at")
+        rows = _postings(classes, codes, known).join(heavy, "key", "left")
+        own_tile = F.when(F.col(own).isNull(), 0).otherwise(F.pmod(F.xxhash64("cls"), F.col(own)).cast("int"))
+        every = F.explode(F.when(F.col(other).isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col(other) - 1)))
+        rows = rows.withColumn("own", own_tile).withColumn("other", every)
+        i, j = ("own", "other") if name == "t" else ("other", "own")
+        return rows.select("key", F.col(i).alias("i"), F.col(j).alias("j"), *[F.col(c).alias(f"{name}_{c}") for c in ("cls", "size", "s0", "s1")])
+
+    apart = _apart((F.col("t_s0"), F.col("e_s0")), (F.col("t_s1"), F.col("e_s1")))
+    met = side("t", "train_codes").join(side("e", "eval_codes"), ["key", "i", "j"]).where(_possible(F.col("t_size"), F.col("e_size"), apart, 128, similarity))
+    return met.select(F.col("t_cls").alias("t"), F.col("e_cls").alias("e")).where("t <> e").distinct()
+
+
+def shared(s: np.ndarray, t: np.ndarray) -> float:
+    """Common share of two distinct, sorted run sets."""
+    small, large = (s, t) if len(s) <= len(t) else (t, s)
+    if not len(small):
+        return 0.0
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int(np.count_nonzero(large[at] == small))
+    return both / (len(s) + len(t) - both)
 
 
 def aligned(a: str, b: str) -> tuple[float, int]:
     """(similarity of the run sets, characters of ``a`` and ``b`` matched along the best collinear chain)."""
-    x, y = run_hashes(a, K), run_hashes(b, K)
-    s, t = distinct_sorted(x), distinct_sorted(y)
-    both = len(np.intersect1d(s, t, assume_unique=True))
-    similarity = both / (len(s) + len(t) - both) if both else 0.0
+    s, t = distinct_sorted(run_hashes(a, K)), distinct_sorted(run_hashes(b, K))
+    return shared(s, t), matched_chars(a, b, min(window_of(len(s)), window_of(len(t))))
+
+
+def matched_chars(a: str, b: str, window: int = WINDOW) -> int:
+    """Characters matched along the best collinear chain of common winnowed runs, each extended to both sides."""
     if a == b:
-        return 1.0, len(a)
+        return len(a)
     p, q = run_hashes(a, SEED), run_hashes(b, SEED)
     at = {}
-    for i in winnowed(q, WINDOW).tolist():
+    for i in winnowed(q, window).tolist():
         at.setdefault(int(q[i]), []).append(i)
-    seeds = [(i, j) for i in winnowed(p, WINDOW).tolist() for j in at.get(int(p[i]), ())]
+    seeds = [(i, j) for i in winnowed(p, window).tolist() for j in at.get(int(p[i]), ())]
     # Longest chain increasing in both texts, by patience sorting on (i up, j down).
     tails: list[int] = []
     ends: list[int] = []
@@ -275,7 +321,7 @@ def aligned(a: str, b: str) -> tuple[float, int]:
             m, n = m + 1, n + 1
         matched += m - i
         ai, bi = m, n
-    return similarity, matched
+    return matched
 
 
 _LINKS = "t long, e long, similarity double, t_coverage double, e_coverage double"
@@ -283,15 +329,30 @@ _LINKS = "t long, e long, similarity double, t_coverage double, e_coverage doubl
 
 def _check(similarity: float):
     def run(batches):
+        known: dict[bytes, tuple[str, np.ndarray]] = {}  # a text of a large group comes often
+
+        def plain_of(text: str, content: bytes) -> tuple[str, np.ndarray] | None:
+            """Bare form and runs; None if another text stands under the representative's id."""
+            if content not in known:
+                plain = bare(text)
+                if xxhash.xxh3_128_digest(plain) != content:
+                    return None
+                if len(known) >= CACHED:
+                    known.clear()
+                known[content] = plain, distinct_sorted(run_hashes(plain, K))
+            return known[content]
+
         for batch in batches:
             t, e, x, y, tc, ec = (batch.column(i).to_pylist() for i in range(6))
             kept = []
             for i in range(len(t)):
-                a, b = bare(x[i]), bare(y[i])
-                if xxhash.xxh3_128_digest(a) != tc[i] or xxhash.xxh3_128_digest(b) != ec[i]:
-                    continue  # another text under the representative's id
-                share, matched = aligned(a, b)
+                one, two = plain_of(x[i], tc[i]), plain_of(y[i], ec[i])
+                if one is None or two is None:
+                    continue
+                (a, s), (b, u) = one, two
+                share = shared(s, u)
                 if share >= similarity:
+                    matched = matched_chars(a, b, min(window_of(len(s), similarity), window_of(len(u), similarity)))
                     kept.append((t[i], e[i], share, matched / len(a), matched / len(b)))
             cols = list(zip(*kept)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, [pa.int64()] * 2 + [pa.float64()] * 3)], names=[f.split()[0] for f in _LINKS.split(", ")])
@@ -322,14 +383,14 @@ def overlaps(records: DataFrame, *, similarity: float = SIMILARITY) -> tuple[Dat
     members = found.join(classes.select("content", "cls"), "content").drop("content").distinct()
 
     pairs = candidate_pairs(classes, similarity)
-    brief = classes.select("cls", "id", "content", "runs", "s0", "s1")
 
-    def side(name: str) -> DataFrame:
-        return brief.select(F.col("cls").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("id", "content", "runs", "s0", "s1")])
+    def side(name: str, *columns: str) -> DataFrame:
+        return classes.select(F.col("cls").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    sketches = [(F.col("t_s0"), F.col("e_s0")), (F.col("t_s1"), F.col("e_s1"))]
-    near = pairs.join(side("t"), "t").join(side("e"), "e").where(_possible(F.col("t_runs"), F.col("e_runs"), sketches, similarity))
-    near = cut(near.select("t", "e", "t_id", "e_id", "t_content", "e_content"))
+    apart = _apart(*[(F.col("t_parity")[w], F.col("e_parity")[w]) for w in range(_WORDS)])
+    most = (1 - similarity) / (1 + similarity) * (F.col("t_runs") + F.col("e_runs"))
+    near = pairs.join(side("t", "runs", "parity"), "t").join(side("e", "runs", "parity"), "e").where(apart <= most + 1e-9).select("t", "e")
+    near = cut(near.join(side("t", "id", "content"), "t").join(side("e", "id", "content"), "e"))
     # The texts that are compared, fetched once.
     wanted = near.select(F.explode(F.array("t_id", "e_id")).alias("id")).distinct()
     text = cut(base.select("id", "text").join(wanted, "id", "left_semi").distinct())
