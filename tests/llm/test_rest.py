@@ -52,6 +52,58 @@ def test_unit_edges(spark):
     assert len(S.unit_starts(long)) == 20000
 
 
+SCRIPTS = [
+    ("hy", "Սա առաջին նախադասությունն է։ Սա երկրորդն է։", 2),
+    ("am", "ይህ የመጀመሪያው ነው። ይህ ሁለተኛው ነው፧ ይህ ሦስተኛው ነው።", 3),
+    ("bo", "འདི་དང་པོ་ཡིན། འདི་གཉིས་པ་ཡིན།", 2),
+    ("my", "ဒါကပထမဝါကျဖြစ်တယ်။ ဒါကဒုတိယဝါကျဖြစ်တယ်။", 2),
+    ("km", "នេះជាប្រយោគទីមួយ។ នេះជាប្រយោគទីពីរ។", 2),
+    ("he", "זה המשפט הראשון. זה השני? כן.", 3),
+    ("ta", "இது முதல் வாக்கியம். இது இரண்டாவது.", 2),
+    ("bn", "এটি প্রথম বাক্য। এটি দ্বিতীয়।", 2),
+    ("ur", "یہ پہلا جملہ ہے۔ یہ دوسرا ہے۔", 2),
+    ("ka", "ეს პირველი წინადადებაა. ეს მეორეა.", 2),
+    ("el", "Αυτή είναι η πρώτη. Αυτή η δεύτερη!", 2),
+    ("mn", "ᠨᠢᠭᠡ᠃ ᠬᠣᠶᠠᠷ᠃", 2),
+    ("lo", "ນີ້ແມ່ນປະໂຫຍກທຳອິດ ນີ້ແມ່ນປະໂຫຍກທີສອງ", 2),
+    ("ii", "ꀉꀊ꓿ ꀋꀌ꓿", 2),
+]
+
+
+@pytest.mark.parametrize("lang, text, units", SCRIPTS, ids=[s[0] for s in SCRIPTS])
+def test_units_of_other_scripts(lang, text, units):
+    for known in (lang, None):
+        starts = S.unit_starts(text, known)
+        assert len(starts) == units and all(i == 0 or text[i - 1] == " " for i in starts)
+
+
+@pytest.mark.parametrize("sentence", ["am 12. Foo ", "a.b.c.", "“Go. Now. ", "x“a.” b ", "(ก ข) ", "!. ", "Foo.Foo@", "т. д. ", "1. ", "‘a ", ". "])
+def test_time_grows_with_the_text(sentence):
+    import time
+
+    line = sentence * (1_000_000 // len(sentence))
+    t = time.time()
+    S.unit_starts(line)
+    assert time.time() - t < 10
+
+
+def test_quotations_and_words_of_any_length():
+    inner = "Go on. " * 200
+    assert S.unit_starts(f"He said ‘{inner}now’ and left. Then rain.") == [0, len(f"He said ‘{inner}now’ and left. ")]
+    word = "x" * 500 + ".A"  # an initial at the end of a long word
+    assert len(S.unit_starts(f"{word}. Foo bar.")) == 1
+
+
+def test_each_segment_has_its_own_abbreviations(spark):
+    one, two = "Das ist Nr. 5 usw. Ende.", "He came via St. Paul. Art. Five."
+    text = f"{one}\n{two}"
+    assert S.unit_starts(text, None, [("de", len(one)), ("en", len(two))]) == [0, text.index("Ende"), len(one) + 1, text.index("Art."), text.index("Five")]
+    assert S.unit_starts(text, None, [("de", len(one)), ("fr", len(two))])[-1] == text.index("Art.")  # "art." is an abbreviation in French
+    assert S.unit_starts(text, None, [("de", 3)]) == S.unit_starts(text)  # lengths that don't add up
+    docs = spark.createDataFrame([(1, text, "mul", [("de", one), ("en", two)])], "doc_id long, text string, lang string, segments array<struct<lang:string,text:string>>")
+    assert [r["start_pos"] for r in S.sentence_units(docs).collect()][-1] == text.index("Five")
+
+
 # ---- 5
 
 
