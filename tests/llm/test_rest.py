@@ -253,14 +253,79 @@ def test_feistel_on_all_of_a_small_format():
     assert len({I.permute_digits(f"{i:03}", b"k") for i in range(1000)}) == 1000
 
 
+KNOWN = [
+    ("Meeting with Arvel Brindlecot at noon.", ["Arvel Brindlecot"]),
+    ("Contact Dr. Oswin T. Marchpane or ask the librarian, Nell Harrowgate.", ["Oswin T. Marchpane", "Nell Harrowgate"]),
+    ("Author: Perrin Alcott\nBest wishes, Odo Farthing", ["Perrin Alcott", "Odo Farthing"]),
+    ("Tamsin Oakhart wrote from New Haven to the Grand Museum.", ["Tamsin Oakhart"]),
+    ("Ein Brief von Ulf Bergwald an Professor Heike Sommertal.", ["Ulf Bergwald", "Heike Sommertal"]),
+    ("Le livre est offert par Aurèle Castelmont et Mme Odile Grandpré.", ["Aurèle Castelmont", "Odile Grandpré"]),
+    ("Un libro por Rufina Campoverde, para don Blas Montalto.", ["Rufina Campoverde", "Blas Montalto"]),
+    ("Письмо от Игната Лугового для В. Березина.", ["Игната Лугового", "В. Березина"]),
+    ("Walk from Old Mill to Green Lake, then see the North Road on Monday.", []),
+]
+
+
+@pytest.mark.parametrize("text, want", KNOWN, ids=range(len(KNOWN)))
+def test_names_outside_the_lexicon(text, want):
+    assert [text[a:b] for a, b, k in I.mentions(text, LEXICON) if k == "person"] == want
+
+
+DATES = ["Born 12.03.1987 in", "Geboren am 3.11.1950,", "née le 5 mars 1961.", "Nacido el 7 de abril de 1975", "Родился 1.02.2003", "생년월일: 1990년 7월 5일", "生年月日：1988年12月31日", "出生于1977-01-09。", "Date of birth: March 4, 1999"]
+
+
+@pytest.mark.parametrize("text", DATES)
+def test_dates_of_birth(text):
+    (a, b, kind), = I.mentions(text, LEXICON)
+    new = I.permute_date(text[a:b], b"key")
+    plain = lambda d: [int(x) if x.isdigit() else x for x in I.re.findall(r"\d+|[^\W\d]+", d)]
+    assert kind == "date" and new != text[a:b] and I._ONE_DATE.fullmatch(new) and plain(I.permute_date(new, b"key", undo=True)) == plain(text[a:b])
+    assert [c for c in new if not c.isalnum()] == [c for c in text[a:b] if not c.isalnum()]
+
+
+def test_date_edges():
+    assert I.mentions("The meeting of 12.03.1987 was long.", LEXICON) == []
+    assert I.permute_date("31.02.1990", b"k") is None and I.permute_date("1.1.1850", b"k") is None and I.permute_date("x", b"k") is None
+    assert I.pseudonym("date", "31.02.1990", b"k").startswith("[DATE ") and len({I.permute_below(i, 1000, b"k") for i in range(1000)}) == 1000
+    same = {I.permute_date(d, b"k") for d in ("1987-03-12", "1987-3-12")}
+    assert len({tuple(int(x) for x in d.split("-")) for d in same}) == 1
+
+
+IDENTITIES = ["9001011234568", "11010519491231002X", "12345678Z", "X1234567L", "255081416802538", "11223344595", "7707083893", "500100732259", "123456789018", "4111111111111111"]
+
+
+@pytest.mark.parametrize("number", IDENTITIES)
+def test_checks_hold_after_permutation(number):
+    valid = lambda c: [i for i, (form, n, check, _) in enumerate(I._CHECKED) if I.re.fullmatch(form, c) and check(c[:-n]) == c[-n:]]
+    assert valid(number), number
+    new = I.permute_identity(number, b"key")
+    assert new != number and len(new) == len(number) and valid(number)[0] in valid(new)
+    assert [c.isdigit() for c in new[:-1]] == [c.isdigit() for c in number[:-1]]
+
+
+def test_identity_dates_stay_dates():
+    import datetime
+
+    new = I.permute_identity("11010519491231002X", b"key")
+    datetime.datetime.strptime(new[6:14], "%Y%m%d")
+    assert I.permute_identity("9001011234560", b"key") != "9001011234560"  # the check fails: all digits move
+
+
 def test_redact(spark):
-    docs = spark.createDataFrame([(1, "연락처 010-0000-1017 끝"), (2, "연락처 010.0000.1017"), (3, None), (4, ""), (5, "nothing here")], "doc_id long, text string").withColumn("mentions", F.lit("x"))
+    docs = spark.createDataFrame([(1, "연락처 010-0000-1017 끝"), (2, "연락처 010.0000.1017"), (3, None), (4, ""), (5, "nothing here"), (6, "Born 12.03.1987.")], "doc_id long, text string").withColumn("mentions", F.lit("x"))
     names = spark.createDataFrame([("Maren", "given", "en"), (None, None, None)], "name_part string, kind string, lang string")
-    got = {r["doc_id"]: r for r in I.redact(docs, names, secret="s").collect()}
+    got = {r["doc_id"]: r for r in I.redact(docs, names, secret="s" * 16).collect()}
     digits = lambda t: "".join(c for c in t if c.isdigit())
     assert got[1]["redacted"].startswith("연락처 [PHONE ") and got[1]["redacted"].endswith("] 끝") and digits(got[1]["redacted"]) == digits(got[2]["redacted"]) != "01000001017"
     assert got[3]["redacted"] is None and got[4]["redacted"] == "" and got[5]["redacted"] == "nothing here" and got[5]["mentions"] == 0
-    assert I.find_mentions(docs, names.limit(0)).count() == 2 and I.find_mentions(docs.limit(0), names).count() == 0
+    assert got[6]["redacted"].startswith("Born [DATE ") and got[6]["redacted"].endswith("].") and "12.03.1987" not in got[6]["redacted"]
+    assert I.find_mentions(docs, names.limit(0)).count() == 3 and I.find_mentions(docs.limit(0), names).count() == 0
+    for bad in ("", "short", None):
+        with pytest.raises(ValueError):
+            I.redact(docs, names, secret=bad)
+    with pytest.raises(TypeError):
+        I.redact(docs, names)
+    assert len(I.pseudonym("person", "A B", b"k").split()[1]) == 25  # 96 bits and the bracket
 
 
 def test_queries_are_registered():

@@ -3,15 +3,19 @@
 Mentions are found per line by shape and by the words around them: email
 addresses (also spelled-out ones), phone numbers, identity numbers behind their
 labels, street addresses by the form of the country, and personal names, which
-are a given and a family name side by side.  Names come from a lexicon, which
-may be incomplete, and from their contexts (signatures, salutations, "issued to",
-honorifics); a title alone, a lone family name and an institution are none.
-
-``redact`` replaces each mention by a typed placeholder.  Digits of phone and
-identity numbers are permuted within their format by a keyed Feistel network, so
-equal numbers have equal pseudonyms in every document and format; other mentions
-get a keyed tag.  The rest of the text is unchanged.  Whoever has the key can
-undo the permutation of numbers.
+are a given and a family name side by side.  A name is told by a lexicon, which
+may be incomplete, or by a context that only a person's name stands in: a title,
+a form of address, a role, a preposition or verb that takes a person, a label, a
+salutation or a signature.  A title alone, a lone family name and an institution
+are none.  Dates are personal where words of birth stand before them.
+
+``redact`` replaces each mention by a typed placeholder.  Phone and identity
+numbers and dates of birth are permuted within their format by a keyed Feistel
+network, so equal values have equal pseudonyms in every document and format.  An
+identity number is validated first: one whose check digit holds keeps a holding
+one, and its date of birth stays a date; of any other all digits are permuted.
+Other mentions get a keyed tag of 96 bits.  The rest of the text is unchanged.
+The key must be given; whoever has it can undo the permutation of numbers.
 
 Null texts give no mentions and stay null.  Texts in decomposed form are matched
 in composed form and reported at the offsets of the text as it is.
@@ -19,8 +23,12 @@ in composed form and reported at the offsets of the text as it is.
 
 from __future__ import annotations
 
+import datetime
+import functools
 import hashlib
+import os
 import re
+import secrets
 import unicodedata
 
 import pyarrow as pa
@@ -28,9 +36,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from textloom.session import table
 
-DEFAULT_KEY = "replace-me"
+LEAST_KEY, TAG_BYTES = 16, 12
 MOST_NAMES = 1_000_000
-KINDS = ("email", "phone", "id_number", "address", "person")
+KINDS = ("email", "phone", "id_number", "address", "person", "date")
 
 # ---- emails
 _AT = r"(?:@|＠| @ | ?[\[(]at[\])] ?)"
@@ -53,13 +61,37 @@ _LOCAL = (
 _PHONE_CUE = r"(?:(?:(?<![A-Za-zА-я])(?:[Tt]el|TEL|[Tt]él|[Тт]ел|[Pp]hone|[Cc]all|answers|on|or|oder|ou|o|или|[Tt]elefon|[Tt]eléfono|[Tt]éléphone)|연락처|전화|또는|または|電話|致电|电话)\.?[:：]?\s?)"
 _PHONE = re.compile(rf"(?<![A-Za-z0-9_$^{{])(?:{_CC})(?![\d\-])|{_PHONE_CUE}({_LOCAL})(?![\d\-/])|(?<![A-Za-z0-9_$(（])([(（][0０]\d{{1,3}}[)）] ?\d{{3,4}}[ \-]?\d{{4}}|\(\d{{3}}\) \d{{3}}-\d{{4}})(?![\d\-])")
 
+# ---- dates of birth
+# Months in the languages whose dates name them.
+MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+    "ru": "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split(),
+}
+_MONTH_NAMES = {name.casefold(): (names, i) for names in MONTHS.values() for i, name in enumerate(names)}
+_MONTH_WORD = "|".join(sorted({name for names in MONTHS.values() for name in names}, key=len, reverse=True))
+_BORN = (
+    r"\b[Bb]orn(?: on)?|[Dd]ate of birth|DOB|[Bb]irthday|[Gg]eboren(?: am)?|geb\.(?: am)?|Geburtsdatum|[Nn]ée? le|[Dd]ate de naissance|[Nn]acid[oa](?: el)?|[Ff]echa de nacimiento|"
+    r"[Рр]одил(?:ся|ась)|[Дд]ата рождения|생년월일(?:은|는)?|출생일?|生年月日|誕生日|出生日期|出生于|生于"
+)
+_BORN_HINTS = ("orn", "irth", "DOB", "ebor", "geb.", "Geburt", "né", "naissance", "acid", "nacimiento", "оди", "рожд", "생년", "출생", "生")
+_DATE = (
+    r"(?P<d1>\d{1,2})(?P<sep>[./\-])(?P<m1>\d{1,2})(?P=sep)(?P<y1>\d{4})|(?P<y2>\d{4})(?P<sep2>[./\-]) ?(?P<m2>\d{1,2})(?P=sep2) ?(?P<d2>\d{1,2})|"
+    r"(?P<y3>\d{4})[年년] ?(?P<m3>\d{1,2})[月월] ?(?P<d3>\d{1,2})[日일]|"
+    rf"(?P<d4>\d{{1,2}})\.? (?:de )?(?P<m4>{_MONTH_WORD}),? (?:de )?(?P<y4>\d{{4}})|(?P<m5>{_MONTH_WORD}) (?P<d5>\d{{1,2}}), (?P<y5>\d{{4}})"
+)
+_BIRTH = re.compile(rf"(?:{_BORN})\s?[:：]?\s?((?:{_DATE}))(?!\d)")
+_ONE_DATE = re.compile(_DATE)
+
 # ---- addresses
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’\-]*"
 _ADDRESS = [
     re.compile(p)
     for p in (
         # English
-        rf"(?:(?:Apt|Flat|Unit|Suite)\.? \w{{1,4}}, )?(?:P\.? ?O\.? Box \d+|\d{{1,5}}[A-Za-z]? (?:(?:{_CAP}|St\.)\s){{1,4}}(?:Street|Avenue|Road|Drive|Lane|Way|Court|Place|Square|Terrace|Row|Close|Boulevard|Crescent|(?:St|Ave|Rd|Dr|Ln|Ct|Blvd)\b\.?)(?:,? (?:Apt|Flat|Unit|Suite)\.? \w{{1,4}})?)(?:, {_CAP})?(?:,? (?:ZZ \d{{5}}|[A-Z]{{1,2}}\d[A-Z\d]? \d[A-Z]{{2}}))?",
+        rf"(?:(?:Apt|Flat|Unit|Suite)\.? \w{{1,4}}, )?(?:P\.? ?O\.? Box \d+|\d{{1,5}}[A-Za-z]? (?:(?:{_CAP}|St\.)\s){{1,4}}(?:Street|Avenue|Road|Drive|Lane|Way|Court|Place|Square|Terrace|Row|Close|Boulevard|Crescent|(?:St|Ave|Rd|Dr|Ln|Ct|Blvd)\b\.?)(?:,? (?:Apt|Flat|Unit|Suite)\.? \w{{1,4}})?)(?:, {_CAP})?(?:,? (?:[A-Z]{{2}} \d{{5}}(?:-\d{{4}})?|[A-Z]{{1,2}}\d[A-Z\d]? \d[A-Z]{{2}}))?",
         # German
         rf"(?:Am|An der|Auf dem|Auf der|Im|In der|Zum|Zur|Unter den) {_CAP} \d{{1,4}} ?[a-z]?, (?:(?:D-)?\d{{5}} )?{_CAP}|(?:(?:(?:Alte[rns]?|Neue[rns]?|Große|Kleine|Hohe) )?{_CAP[:-1]}*(?:straße|strasse|str\.|weg|allee|gasse|platz|ring|ufer|damm|steig|markt|stieg|pfad)|(?:Alte|Neue) {_CAP}) \d{{1,4}} ?[a-z]?\b(?:, (?:D-)?\d{{5}} {_CAP}|, {_CAP})?",
         # French
@@ -88,25 +120,73 @@ _ADDRESS_HINT = (
 )
 
 # ---- persons
+# Contexts are words that stand before or after any person's name in a language:
+# titles, forms of address, words for people's roles, prepositions and verbs that
+# take a person; and the shapes of labels, salutations and signatures.
 _UP = r"A-ZÀ-ÖØ-ÞА-ЯЁ"
 _PART = rf"(?:[Dd]['’])?[{_UP}][\w'’\-]+"
 _WESTERN = rf"(?:{_PART}, (?:{_PART}|[{_UP}]\.)(?: [{_UP}]\.)?|(?:{_PART}|[{_UP}]\.)(?: [{_UP}]\.)? {_PART})"
-_BEFORE_NAME = (
-    r"Transcriber: |issued to |the name |We thank |The volunteer |Dear (?:M(?:r|s|rs|iss|x)\.? |Dr\.? )?|Regards, |Sincerely, |According to |ask for |proofs to |"
-    r"[Gg]rüßen,? |Übertragung: |ausgestellt auf |Fahnen an |Frau |Herrn? |Transcription ?: |Cordialement, |au nom d['’e] ?|Mme |Mlle |M\. (?=[A-Z][a-zà-ÿ]+ )|épreuves à |"
-    r"Transcripción: |Atentamente, |a nombre de |Sra?\. |Dña\. |pruebas a |Переписчик: |С уважением, |владелец |корректуру: "
+# Titles and forms of address.
+_TITLE = (
+    "Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Sir|Dame|Rev|Herrn?|Frau|Fräulein|MM?|Mme|Mlle|Monsieur|Madame|Mademoiselle|Sra?|Srta|[Ss]eñora?|[Ss]eñorita|D|Dña|[Dd]on|[Dd]oña|"
+    "г-н|г-жа|[Гг]осподин|[Гг]оспожа|[Дд]октор|[Пп]рофессор"
+)
+_DEAR = "Dear|Hello|Hi|Lieber?|geehrte[rs]?|Hallo|Cher|Chère|Bonjour|Estimad[oa]|Querid[oa]|Hola|Уважаем(?:ый|ая)|Дорог(?:ой|ая)|Здравствуйте"
+# Words for roles that a name may follow.
+_ROLE = (
+    "volunteer|transcriber|translator|proofreader|teacher|author|editor|publisher|librarian|owner|holder|applicant|customer|client|patient|student|pupil|witness|member|"
+    "colleague|director|manager|secretary|president|chair|reader|sender|recipient|neighbou?r|friend|doctor|lawyer|nurse|musician|"
+    "Lehrer(?:in)?|Autor(?:in)?|Übersetzer(?:in)?|Schüler(?:in)?|Student(?:in)?|Kund(?:e|in)|Patient(?:in)?|Inhaber(?:in)?|Kolleg(?:e|in)|Leiter(?:in)?|Mitglied|Empfänger(?:in)?|"
+    "bénévole|transcripteur|transcriptrice|professeure?|auteure?|élève|étudiante?|cliente?|patiente?|titulaire|collègue|directeur|directrice|membre|destinataire|"
+    "voluntari[oa]|transcriptora?|profesora?|autora?|alumn[oa]|estudiante|paciente|titular|colega|directora?|miembro|destinatari[oa]|"
+    "волонт[её]р|переписчик|переводчик|учитель(?:ница)?|автор|редактор|ученик|ученица|студент(?:ка)?|клиент(?:ка)?|пациент(?:ка)?|владел(?:ец|ица)|коллега|директор|получатель|отправитель"
+)
+_TAKES = (
+    "to|for|from|by|with|and|or|of|thank|thanks|contact|ask|name|named|called|met|meeting|see|via|"
+    "an|auf|von|vom|für|mit|durch|bei|und|oder|Namen?|namens|"
+    "à|au|de|par|pour|avec|chez|et|ou|nommée?|remercions|"
+    "a|por|para|con|y|o|nombre|llamad[oa]|"
+    "от|для|к|у|и|или|имя|имени|благодарим"
 )
-_NAME_AFTER_LABEL = re.compile(rf"(?<![\w])(?:{_BEFORE_NAME})({_WESTERN})(?![\w])")
-_NAME_BEFORE_VERB = re.compile(rf"(?<![\w.'’\-])({_WESTERN})(?= (?:asked to be|lives at|wohnt in|habite|vive en|for reading the proofs)|, your order)")
-_NAME_AND = re.compile(rf"We thank {_WESTERN} and ({_WESTERN})")
-_KO_LABEL = re.compile(r"(?:담당자: ?|점역사 |신청인 |성명 |받는 사람: ?|주소로 )((?:[가-힣]{1,2} )?[가-힣]{2,5}?)(?= ?(?:드림|님|씨|선생님)|[ \t]*$|[,.])")
-_KO_HONORED = re.compile(r"(?:(?<=^)|(?<=[\s.!?”’)]))((?:[가-힣]{1,2} )?[가-힣]{2,5}?)(?= 씨[가는를의도 ])")
-_JA_LABEL = re.compile(r"(?:点訳者：|氏名[：]?|担当[：]|担当者：)([一-龥ヶ々]{1,4} ?[ぁ-ん一-龥々ァ-ヶー]{1,5}?)(?=$|[。、\s）])", re.M)
-_JA_HONORED = re.compile(r"(?:(?<=^)|(?<=[。！？」…\s)）\d号目地室]の)|(?<=[。！？」…\s)）]))([一-龥ヶ々]{2,4} ?[ぁ-ん一-龥々]{2,5}?)(?=様|さん)", re.M)
-_ZH_LABEL = re.compile(r"(?:译员：|姓名[：]?|联系人：)([一-龥]{2,4})(?=$|[，。；、\s]|[^一-龥])", re.M)
-_ZH_HONORED = re.compile(r"(?:(?<=^)|(?<=[。！？”…\s）室号，]))([一-龥]{3,4})(?=老师负责|收。|收$)", re.M)
-_INSTITUTION = re.compile(r"[ \-](?:Street|School|Foundation|Institute|Museum|Hall|Society|Prize|College|Stiftung|Library|Road|Avenue|Bridge)\b")
-_CAPITAL_PAIR = re.compile(rf"(?<![\w.'’\-])(?:{_PART}, {_PART}|{_PART} (?:[{_UP}]\. )?{_PART})(?![\w])")
+_BEFORE = re.compile(rf"{_DEAR}|{_TITLE}|{_ROLE}|{_TAKES}")
+_TITLED, _IN_ROLE = re.compile(_TITLE), re.compile(_ROLE)
+_LEFT_WORD = re.compile(r"([^\W\d_](?:[^\W\d_]|-)*)([.,]?) $")
+_LEFT_LABEL = re.compile(r"\w\s?: ?$")
+_LEFT_GREETING = re.compile(r"(?:^\W*|[.!?…] +)(?:[^\W\d_]+ ){0,3}[^\W\d_]+, $")
+_LINE_END = re.compile(r"\W*$")
+_VOCATIVE = re.compile(r"\s*$|, (?=[a-zà-ÿа-яё])")
+# What only people do.
+_DOES = (
+    "asked|asks|lives|lived|said|says|wrote|writes|called|calls|thinks|told|answered|replied|was born|works|read|signed|"
+    "wohnt|lebt|sagte?|schrieb|schreibt|bat|bittet|fragte|arbeitet|unterschrieb|habite|vit|dit|écrit|écrivit|demande|demanda|travaille|a signé|"
+    "vive|dijo|dice|escribió|escribe|pidió|pide|trabaja|firmó|живёт|живет|проживает|сказала?|написала?|попросила?|просит|работает|подписала?"
+)
+_RIGHT_VERB = re.compile(rf" (?:{_DOES})\b")
+_CAPITAL_PAIR = re.compile(rf"(?<![\w.'’\-])(?=({_WESTERN})(?![\w]))[\w'’]")
+# Heads of names of institutions and places, and first words that begin no person's name.
+_INSTITUTION = re.compile(
+    r"[ \-](?:Street|School|Foundation|Institute|Museum|Hall|Society|Prize|College|Stiftung|Library|Road|Avenue|Bridge|University|Hospital|Company|Press|Park|Square|Station|Club|Centre|Center|Award|Church|"
+    r"River|Lake|Mountain|Valley|County|Verlag|Schule|Museumstr|Preis|Gesellschaft|Universität|Verein)\b"
+)
+_NO_NAME = re.compile(
+    r"(?:.*[ ,])?(?:(?:En|De|Con|Por|Para|Desde|Sobre|Según|Dans|Sur|Chez|Avec|Après|Avant|Depuis|Sous|Selon|Bei|Mit|Nach|Vor|Seit|Aus|Von|Über|Unter|Laut|Notes|Notas|Notizen|На|По|От|Из|Для|После|До|Около|"
+    r"The|This|That|These|Those|An|And|But|When|Where|While|After|Before|In|On|At|To|For|From|With|By|Of|It|He|She|We|They|You|My|Your|His|Her|Our|Their|Its|Mein|Meine|Mon|Ma|Mes|Mi|Mis|Please|New|Old|North|South|East|West|Great|Upper|Lower|Mount|Lake|Port|Fort|"
+    r"Saint|San|Santa|Los|Las|Chapter|Line|Table|Page|Figure|Item|Note|Section|Box|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|January|February|March|April|June|July|August|"
+    rf"September|October|November|December|{_TITLE}|Der|Die|Das|Ein|Eine|Am|Im|Alte[rns]?|Neue[rns]?|Stadt|Kapitel|Zeile|Seite|Le|La|Les|Un|Une|El|Una|Ville|Rue|Calle|Plaza|Chapitre|Capítulo|"
+    r"Глава|Город|Улица|Street|School|Foundation|Institute|Museum|Hall|Society|Prize|College|Library|Road|Avenue|University)|(?:St|Apt|Flat|Unit|Suite|Tel|Phone|Email|Avda|Cap)\.?)(?:[ ,].*|$)"
+)
+# Labels of a person's name, and what follows a name, in Korean, Japanese and Chinese.
+_KO_ROLES = "담당자?|점역사|점역자|교정자|신청인|신청자|받는 (?:사람|이|분)|보내는 (?:사람|이|분)|작성자|저자|옮긴이|지은이|대표자?|예금주|수신|발신|환자|고객|학생|보호자|연락처|주소로|앞으로"
+_KO_AFTER = "드림|올림|님|씨|선생|귀하|여사|박사|교수"
+_KO_NAME = r"(?:[가-힣]{1,2} )?[가-힣]{2,5}?"
+_KO_LABEL = re.compile(rf"(?:(?:{_KO_ROLES}|성명|이름) ?[:：] ?|(?:성명|이름) )({_KO_NAME})(?= ?(?:{_KO_AFTER})|[ \t]*$|[,.])|(?:{_KO_ROLES}) ({_KO_NAME})(?= ?(?:{_KO_AFTER}))")
+_KO_HONORED = re.compile(r"(?:(?<=^)|(?<=[\s.!?”’)]))((?:[가-힣]{1,2} )?[가-힣]{2,5}?)(?= (?:씨(?:[가는를의도께와]|에게)?|귀하|여사|선생님(?:[께이은을의과]|에게)?)(?:[ ,.]|$))")
+_JA_LABEL = re.compile(r"(?:点訳者|翻訳者|校正者|氏名|お?名前|担当者?|著者|作者|代表者?|責任者|差出人|宛名|受取人|患者名)(?:[：:]\s?|(?<=[名者]))([一-龥ヶ々]{1,4} ?[ぁ-ん一-龥々ァ-ヶー]{1,5}?)(?=$|[。、\s）])", re.M)
+_JA_HONORED = re.compile(r"(?:(?<=^)|(?<=[。！？」…\s)）\d号目地室]の)|(?<=[。！？」…、\s)）]))([一-龥ヶ々]{2,4} ?[ぁ-ん一-龥々]{2,5}?)(?=様|さん|氏|殿)", re.M)
+_ZH_LABEL = re.compile(r"(?:(?:译员|译者|姓名|名字|联系人|收件人|寄件人|负责人|作者|编辑|校对员?|患者|客户)[：:]\s?|姓名|名字)([一-龥]{2,4})(?=$|[，。；、\s]|[^一-龥])", re.M)
+_ZH_HONORED = re.compile(r"(?:(?<=^)|(?<=[。！？”…\s）室号，：；、]))(?:([一-龥]{3,4})(?=(?:老师|先生|女士|小姐|教授|博士)(?![的们]))|([一-龥]{3,4})(?=收(?:[。，]|$)))", re.M)
+_ZH_COMPOUND = frozenset("欧阳 司马 上官 诸葛 皇甫 令狐 夏侯 慕容 东方 公孙 尉迟 长孙 亓官 司徒 宇文 独孤 南宫 西门 端木 申屠 轩辕 钟离 闻人 淳于 澹台 濮阳 呼延 拓跋 百里 第五".split())
+_ZH_NO_NAME = re.compile("[的了在是那这某位名个和与或把被让给我你他她它们从向将就都也很最]")
 
 
 class Lexicon:
@@ -131,32 +211,64 @@ class Lexicon:
         return (a in self.given and b in self.family) or (b in self.given and a in self.family)
 
 
+@functools.lru_cache(50_000)
+def _takes_name(word: str, mark: str = "") -> bool:
+    """Whether a name may follow the word; after a period it must be a title, after a comma a role."""
+    return bool((_TITLED if mark == "." else _IN_ROLE if mark == "," else _BEFORE).fullmatch(word))
+
+
+def _in_context(line: str, a: int, b: int) -> bool:
+    """Whether what stands around the capital pair at ``a`` to ``b`` stands around persons' names."""
+    left = line[max(0, a - 80) : a]
+    word = _LEFT_WORD.search(left)
+    if word and _takes_name(*word.groups()):
+        return True
+    if not left.strip():
+        return bool(_VOCATIVE.match(line, b)) or bool(_RIGHT_VERB.match(line, b))
+    if _LEFT_LABEL.search(left) or _RIGHT_VERB.match(line, b):
+        return True
+    return left.endswith(", ") and bool(_LINE_END.match(line, b)) and bool(_LEFT_GREETING.search(left))
+
+
 def _names(line: str, lexicon: Lexicon):
-    for p in (_NAME_AFTER_LABEL, _NAME_BEFORE_VERB, _NAME_AND):
-        for m in p.finditer(line):
-            if not _INSTITUTION.match(line, m.end(1)):
-                yield m.span(1)
     for m in _CAPITAL_PAIR.finditer(line):
-        if lexicon.known_pair(m.group()) and not _INSTITUTION.match(line, m.end()):
-            yield m.span()
+        name, (a, b) = m.group(1), m.span(1)
+        if _INSTITUTION.match(line, b):
+            continue
+        if lexicon.known_pair(name):
+            yield a, b
+            continue
+        if _NO_NAME.match(name):
+            continue
+        words = [w for w in name.replace(",", "").split() if len(w) > 2]
+        if len({w.isupper() for w in words}) > 1:  # a name is set in capitals as a whole or not at all
+            continue
+        if name[0] in "dD" and name[1] in "'’" and re.search(r"[a-zà-ÿ] $", line[max(0, a - 2) : a]) and not _takes_name(_LEFT_WORD.search(line[max(0, a - 80) : a]).group(1)):
+            yield a + 2, b  # "nom d'Anatole ...": an elided preposition
+        elif _in_context(line, a, b):
+            yield a, b
 
 
 def _eastern_names(line: str, lexicon: Lexicon):
     if _HANGUL.search(line):
         for p in (_KO_LABEL, _KO_HONORED):
             for m in p.finditer(line):
-                name = m.group(1)
+                group = m.lastindex
+                name = m.group(group)
                 if len(name.replace(" ", "")) >= 3 and name not in lexicon.given:
-                    yield m.span(1)
+                    yield m.span(group)
     for p in (_JA_LABEL, _JA_HONORED):
         for m in p.finditer(line):
             if len(m.group(1).replace(" ", "")) >= 4:
                 yield m.span(1)
     for p in (_ZH_LABEL, _ZH_HONORED):
         for m in p.finditer(line):
-            name = m.group(1)
+            group = m.lastindex
+            name = m.group(group)
+            if _ZH_NO_NAME.search(name) or (p is _ZH_HONORED and group == 1 and len(name) == 4 and name[:2] not in lexicon.compound | _ZH_COMPOUND):
+                continue
             if len(name) >= 3 or (name[0] in lexicon.family and name not in lexicon.compound and name[1:] in lexicon.given):
-                yield m.span(1)
+                yield m.span(group)
     if lexicon.eastern:
         for m in lexicon.eastern.finditer(line):
             yield m.span()
@@ -188,6 +300,9 @@ def _in_line(line: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
         for m in _EMAIL.finditer(line):
             take(m.start(), m.end(), "email")
     if _DIGIT5.search(line):
+        if any(w in line for w in _BORN_HINTS):
+            for m in _BIRTH.finditer(line):
+                take(*m.span(1), "date")
         for m in _ID.finditer(line):
             if sum(c.isdigit() for c in m.group(1)) >= 5:
                 take(*m.span(1), "id_number")
@@ -261,20 +376,142 @@ def permute_digits(digits: str, key: bytes, *, undo: bool = False, rounds: int =
     return a + b
 
 
+_FIRST_DAY, _DAYS = datetime.date(1900, 1, 1), 73_049  # to the end of 2099
+
+
+def permute_below(value: int, most: int, key: bytes, *, undo: bool = False) -> int:
+    """Keyed permutation of 0 .. most - 1: that of all numbers of as many digits, repeated until the value is in range."""
+    width = len(str(most - 1))
+    while True:
+        value = int(permute_digits(str(value).zfill(width), key, undo=undo))
+        if value < most:
+            return value
+
+
+def permute_date(mention: str, key: bytes, *, undo: bool = False) -> str | None:
+    """The date of 1900 to 2099 that the keyed permutation gives, written as the mention is; None if it is no such date.
+
+    Of day and month in figures the day comes first, unless only the other order
+    makes a date.
+    """
+    m = _ONE_DATE.fullmatch(mention)
+    if not m:
+        return None
+    place = next(p for p in "12345" if m.group(f"y{p}"))
+    names = {part: f"{part}{place}" for part in "dmy"}
+    named = _MONTH_NAMES.get(m.group(names["m"]).casefold())
+    year, month, day = int(m.group(names["y"])), named[1] + 1 if named else int(m.group(names["m"])), int(m.group(names["d"]))
+    if place == "1" and month > 12:
+        names["d"], names["m"], month, day = names["m"], names["d"], day, month
+    try:
+        old = datetime.date(year, month, day)
+    except ValueError:
+        return None
+    if not 0 <= (old - _FIRST_DAY).days < _DAYS:
+        return None
+    new = _FIRST_DAY + datetime.timedelta(permute_below((old - _FIRST_DAY).days, _DAYS, key, undo=undo))
+    written = {names["y"]: f"{new.year:04}", names["m"]: named[0][new.month - 1] if named else str(new.month), names["d"]: str(new.day)}
+    out = mention
+    padded = all(m.end(names[part]) - m.start(names[part]) > 1 for part in "dm") and not (named and mention[m.start(names["d"])] != "0")
+    for name in sorted(written, key=m.start, reverse=True):
+        out = out[: m.start(name)] + (written[name].zfill(2) if padded else written[name]) + out[m.end(name) :]
+    return out
+
+
+def _weighted(digits: str, weights) -> int:
+    return sum(int(d) * w for d, w in zip(digits, weights))
+
+
+def _luhn(p: str) -> str:
+    return str(-sum(sum(divmod(int(d) * (2 - i % 2), 10)) for i, d in enumerate(reversed(p))) % 10)
+
+
+def _steuer(p: str) -> str:
+    product = 10
+    for d in p:
+        product = ((int(d) + product) % 10 or 10) * 2 % 11
+    return str((11 - product) % 10)
+
+
+def _snils(p: str) -> str:
+    return f"{_weighted(p, range(9, 0, -1)) % 101 % 100:02}"
+
+
+def _inn12(p: str) -> str:
+    one = str(_weighted(p, (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)) % 11 % 10)
+    return one + str(_weighted(p + one, (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)) % 11 % 10)
+
+
+def _my_number(p: str) -> str:
+    rest = _weighted(reversed(p), (2, 3, 4, 5, 6, 7, 2, 3, 4, 5, 6)) % 11
+    return str(0 if rest <= 1 else 11 - rest)
+
+
+# Identity numbers with a check (Luhn numbers, Korean, Chinese, Spanish, French, German, Russian, Japanese):
+# form, characters of the check, its rule, and where a date of birth stands in the rest (start, length).
+_CHECKED = (
+    (r"\d{13}", 1, lambda p: str((11 - _weighted(p, (2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5)) % 11) % 10), (0, 6)),
+    (r"\d{17}[\dX]", 1, lambda p: "10X98765432"[_weighted(p, (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)) % 11], (6, 8)),
+    (r"\d{8}[A-Z]", 1, lambda p: "TRWAGMYFPDXBNJZSQVHLCKE"[int(p) % 23], None),
+    (r"[XYZ]\d{7}[A-Z]", 1, lambda p: "TRWAGMYFPDXBNJZSQVHLCKE"[int(str("XYZ".index(p[0])) + p[1:]) % 23], None),
+    (r"\d{15}", 2, lambda p: f"{97 - int(p) % 97:02}", None),
+    (r"\d{11}", 1, _steuer, None),
+    (r"\d{11}", 2, _snils, None),
+    (r"\d{10}", 1, lambda p: str(_weighted(p, (2, 4, 10, 3, 5, 9, 4, 6, 8)) % 11 % 10), None),
+    (r"\d{12}", 2, _inn12, None),
+    (r"\d{12}", 1, _my_number, None),
+    (r"\d{13,19}", 1, _luhn, None),
+)
+
+
+def _permute_some(text: str, key: bytes) -> str:
+    new = iter(permute_digits("".join(c for c in text if c.isdigit()), key))
+    return "".join(next(new) if c.isdigit() else c for c in text)
+
+
+def permute_identity(compact: str, key: bytes) -> str:
+    """Another number of the same format: with a holding check if this one's holds, and with a date where it has one."""
+    for form, n, check, date in _CHECKED:
+        if not re.fullmatch(form, compact) or check(compact[:-n]) != compact[-n:]:
+            continue
+        body = compact[:-n]
+        if date:
+            a, length = date
+            written = body[a : a + length] if length == 8 else "19" + body[a : a + length]
+            moved = permute_date(f"{written[:4]}-{written[4:6]}-{written[6:]}", key)
+            if not moved:
+                continue
+            # A date without its century stays a date of any: 1900 and 2000 are told by the digit that is kept.
+            moved = moved.replace("-", "")[8 - length :]
+            if length == 6 and moved == "000229":
+                moved = "000228"
+            rest = _permute_some(body[:a] + body[a + length + 1 :], key)
+            body = rest[:a] + moved + body[a + length] + rest[a:]
+        else:
+            body = _permute_some(body, key)
+        return body + check(body)
+    return _permute_some(compact, key)
+
+
 def pseudonym(kind: str, mention: str, key: bytes) -> str:
-    """The typed placeholder of a mention: permuted digits in its own format, or a keyed tag."""
+    """The typed placeholder of a mention: a number or date permuted in its own format, or a keyed tag."""
     label = kind.upper()
+    if kind == "date":
+        moved = permute_date(mention, key)
+        if moved:
+            return f"[{label} {moved}]"
     if kind in ("phone", "id_number"):
-        digits = "".join(str(int(c)) for c in mention if c.isdigit())
-        new = iter(permute_digits(digits, key))
-        return f"[{label} {''.join(next(new) if c.isdigit() else c for c in mention)}]"
+        plain = unicodedata.normalize("NFKC", mention) if len(unicodedata.normalize("NFKC", mention)) == len(mention) else mention
+        compact = re.sub(r"[\W_]", "", plain)
+        new = iter(permute_identity(compact, key) if kind == "id_number" else _permute_some(compact, key))
+        return f"[{label} {''.join(next(new) if re.match(r'[^\W_]', c) else c for c in plain)}]"
     plain = unicodedata.normalize("NFKC", mention).casefold()
     if kind == "email":
         plain = re.sub(r"\s*[\[(]at[\])]\s*|\s*@\s*", "@", plain)
         plain = re.sub(r"\s*[\[(]dot[\])]\s*", ".", plain)
     else:
         plain = " ".join(sorted(re.findall(r"\w+", plain))) if kind == "person" else " ".join(plain.split())
-    return f"[{label} {hashlib.blake2b(plain.encode(), key=key, digest_size=5).hexdigest()}]"
+    return f"[{label} {hashlib.blake2b(plain.encode(), key=key, digest_size=TAG_BYTES).hexdigest()}]"
 
 
 def _lexicon(names: DataFrame) -> list[tuple[str, str]]:
@@ -304,8 +541,13 @@ def find_mentions(docs: DataFrame, names: DataFrame, *, key: str = "doc_id", tex
     return base.mapInArrow(scan, _MENTIONS)
 
 
-def redact(docs: DataFrame, names: DataFrame, *, key: str = "doc_id", text: str = "text", secret: str = DEFAULT_KEY) -> DataFrame:
-    """(doc_id, redacted, mentions): every document with its mentions replaced by placeholders."""
+def redact(docs: DataFrame, names: DataFrame, *, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, redacted, mentions): every document with its mentions replaced by placeholders.
+
+    secret: the key of all pseudonyms, at least LEAST_KEY characters; there is no default.
+    """
+    if len(secret or "") < LEAST_KEY:
+        raise ValueError(f"a secret of at least {LEAST_KEY} characters is needed")
     rows = _lexicon(names)
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     hidden = hashlib.blake2b(secret.encode(), digest_size=32).digest()
@@ -327,9 +569,15 @@ def redact(docs: DataFrame, names: DataFrame, *, key: str = "doc_id", text: str
     return base.mapInArrow(scan, "doc_id long, redacted string, mentions int")
 
 
+def _secret(spark) -> str:
+    """The key that ``spark.textloom.secret`` or TEXTLOOM_SECRET gives; else one of this call alone, kept nowhere, so that nobody can undo its pseudonyms."""
+    return spark.conf.get("spark.textloom.secret", None) or os.environ.get("TEXTLOOM_SECRET") or secrets.token_hex(32)
+
+
 def p8_found(spark, sf_dir) -> DataFrame:
-    return find_mentions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_lexicon")).select("doc_id", "kind", "start_pos")
+    found = find_mentions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_lexicon"))
+    return found.where("kind <> 'date'").select("doc_id", "kind", "start_pos")
 
 
 def p8_redacted(spark, sf_dir) -> DataFrame:
-    return redact(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_lexicon"))
+    return redact(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_lexicon"), secret=_secret(spark))
