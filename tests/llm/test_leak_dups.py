@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.forms import bare, squeezed
 from textloom.llm import crosssplit as X, leakage as L, neardup as D
+from textloom.llm.keyfilter import LEAST_BITS, KeyFilter
 
 RNG = random.Random(11)
 WORDS = [w * 2 for w in "al bo cy de ek fu go ha il jo ku la mi ne op 가나 다라 마바 사아".split()]
@@ -54,7 +55,7 @@ def test_leaks(spark):
         for i, s in items:
             if t and s and any(bare(s)[j : j + 20] in bare(t) for j in range(len(bare(s)) - 19)):
                 want.add((d, i))
-    for block in (300_000, 120):  # one automaton, and many
+    for block in (300_000, 120, 40):  # one automaton, and many
         spans = L.leaked_spans(df, it, block_chars=block)
         assert {(r["key"], r["item_id"]) for r in spans.select("key", "item_id").distinct().collect()} == want
     clean = {r["doc_id"]: r for r in L.without_leaks(df, L.leaked_spans(df, it)).collect()}
@@ -63,6 +64,25 @@ def test_leaks(spark):
     assert L.leaked_spans(df, it.limit(0)).count() == 0 and L.leaked_spans(df.limit(0), it).count() == 0
 
 
+def test_leaks_of_many_items(spark, monkeypatch):
+    """Grown items and hot passages: blocks of items on the executors give what one automaton gives, in one pass."""
+    rng = random.Random(14)
+    items = [(f"i{n:04}", random_text(rng, rng.randint(15, 60))) for n in range(1500)]
+    hot = items[7][1] + random_text(rng, 40)
+    items += [(f"h{n:03}", hot) for n in range(200)] + [(f"g{n:03}", random_text(rng, 5) + hot + random_text(rng, 3)) for n in range(50)]
+    docs = [(n, random_text(rng, 80) + (hot if n % 3 == 0 else items[n][1]) + random_text(rng, 80), "s") for n in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    it = spark.createDataFrame(items, "nikl_id string, src string")
+    want = {(d, i) for d, t, _ in docs for i, s in items if any(s[j : j + 20] in t for j in range(len(s) - 19))}
+    columns = ["key", "item_id", "bare_start", "bare_end", "bare_chars"]
+    one = sorted(map(tuple, L.leaked_spans(df, it, block_chars=10**7).select(*columns).collect()))
+    monkeypatch.setattr(L, "PIECES", 50)
+    many = sorted(map(tuple, L.leaked_spans(df, it, block_chars=3000).select(*columns).collect()))
+    assert one == many and {(r[0], r[1]) for r in one} == want
+    kept = L.without_leaks(df, L.leaked_spans(df, it, block_chars=3000)).collect()
+    assert len(kept) == 300 and all(hot[:20] not in (r["clean_text"] or "") for r in kept)
+
+
 def pairs_by_force(texts, similarity):
     runs = {k: {squeezed(t)[i : i + 8] for i in range(len(squeezed(t)) - 7)} for k, t in texts if t}
     return {(a, b) for a in runs for b in runs if a < b and runs[a] and runs[b] and len(runs[a] & runs[b]) >= similarity * len(runs[a] | runs[b])}
@@ -247,7 +267,7 @@ def test_parities_never_overstate_a_difference():
 
 def test_key_filter_misses_nothing():
     keys = np.random.default_rng(4).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(3)
-    known = X.KeyFilter(np.zeros(X.LEAST_BITS // 8, np.uint8))
+    known = KeyFilter(np.zeros(LEAST_BITS // 8, np.uint8))
     known.add(keys[:2000])
     known.add(keys[2000:4000])
     assert known.holds(keys[:4000]).all() and known.holds(keys[4000:]).mean() < 0.02

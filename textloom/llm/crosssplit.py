@@ -36,16 +36,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.functions.forms import bare, batches_by_size, mix, run_hashes, runs_by_text
 from textloom.functions.sketches import OnePermutation, distinct_sorted, winnowed
+from textloom.llm.keyfilter import KeyFilter
 from textloom.session import cut, table
 
 K, SIMILARITY, LEAST_CHARS = 5, 0.6, 20
 SEED, WINDOW = 9, 12
 TILE, SAMPLE, HEAVY = 1024, 64, 64
 COPIES, CACHED = 64, 2000
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
-_CHUNK = 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_MERGED = 256
 _BINS, _PARITIES = 128, 512
 _WORDS = _PARITIES // 64
 _SKETCH = OnePermutation(_BINS)
@@ -153,56 +151,6 @@ def _keys(batch: pa.RecordBatch, codes: str):
     return row[which], mix((values[which] * np.uint64(3)) ^ (c * _STEP))
 
 
-class KeyFilter:
-    """A bit for each hash range that holds a key of a set.  It may hold keys outside the set, never misses one inside."""
-
-    def __init__(self, packed: np.ndarray) -> None:
-        self.packed = packed
-        self.shift = np.uint64(64 - (8 * len(packed)).bit_length() + 1)
-
-    @classmethod
-    def of(cls, classes: DataFrame, codes: str) -> "KeyFilter":
-        """Of the keys of classes, with 16 bits a key up to MOST_BITS.
-
-        What comes to the driver is bounded, and no task gets the marks of all
-        partitions.
-        """
-        keys = classes.agg(F.sum(F.size("seeds").cast("long") * F.size(codes))).first()[0] or 0
-        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys).bit_length()))
-
-        def mark(batches):
-            filled = cls(np.zeros(bits // 8, np.uint8))
-            for batch in batches:
-                filled.add(_keys(batch, codes)[1])
-            packed = filled.packed.reshape(-1, _CHUNK)
-            used = np.flatnonzero(packed.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([packed[u].tobytes() for u in used], pa.binary())], names=["chunk", "bits"])
-
-        def merge(pdf):
-            import pandas as pd
-
-            whole = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
-            return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "part": np.zeros(1, np.int32), "bits": [whole.tobytes()]})
-
-        out = np.zeros((bits // 8 // _CHUNK, _CHUNK), np.uint8)
-        marked = classes.select("seeds", codes).mapInArrow(mark, "chunk int, bits binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(_MERGED))).select("chunk", "part", "bits")
-        parted = "chunk int, part int, bits binary"
-        merged = marked.groupBy("chunk", "part").applyInPandas(merge, parted).groupBy("chunk").applyInPandas(merge, parted)
-        for r in merged.toLocalIterator():
-            out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
-        return cls(out.reshape(-1))
-
-    def add(self, keys: np.ndarray) -> None:
-        bit = np.unique(keys >> self.shift)
-        byte, first = np.unique(bit >> np.uint64(3), return_index=True)
-        if len(bit):
-            self.packed[byte.astype(np.intp)] |= np.bitwise_or.reduceat(np.uint8(128) >> (bit & np.uint64(7)).astype(np.uint8), first)
-
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        bit = keys >> self.shift
-        return (self.packed[(bit >> np.uint64(3)).astype(np.intp)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8))) & 1 > 0
-
-
 def _postings(classes: DataFrame, codes: str, known=None, sample: bool = False) -> DataFrame:
     """(key, cls, size, s0, s1): keys of the fingerprints under each of the named codes.
 
@@ -249,7 +197,8 @@ def _heavy(classes: DataFrame, known) -> DataFrame:
 
 def candidate_pairs(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Distinct (t, e) class pairs that share a fingerprint under a shared code and may be similar."""
-    known = classes.sparkSession.sparkContext.broadcast(KeyFilter.of(classes.where(F.size("eval_codes") > 0), "eval_codes"))
+    keys = classes.agg(F.sum(F.size("seeds").cast("long") * F.size("eval_codes"))).first()[0] or 0
+    known = classes.sparkSession.sparkContext.broadcast(KeyFilter.of(_postings(classes, "eval_codes").select("key"), keys))
     heavy = _heavy(classes, known)
 
     def side(name: str, codes: str) -> DataFrame:

@@ -1,13 +1,19 @@
 """Problem 1: held-out passages inside training text.
 
-The test items are put in their bare form and into one generalised suffix
-automaton (per block of items).  Training text streams through it while the
-length of the longest suffix known to the automaton is tracked; wherever that
-length reaches ``min_run`` the items holding that run are reported.  Positions
-that cannot belong to such a run are stepped over: a run of ``min_run``
-characters covers a whole ``ANCHOR``-character piece starting at a multiple of
-``min_run - ANCHOR + 1``, so only neighbourhoods of pieces known to the items
-are streamed.  No run is lost by that.
+The test items are put in their bare form and into a generalised suffix
+automaton.  Training text streams through it while the length of the longest
+suffix known to the automaton is tracked; wherever that length reaches
+``min_run`` the items holding that run are reported.  Positions that cannot
+belong to such a run are stepped over: a run of ``min_run`` characters covers a
+whole ``ANCHOR``-character piece starting at a multiple of ``min_run - ANCHOR + 1``,
+so only neighbourhoods of pieces known to the items are streamed.  No run is lost
+by that.
+
+Up to ``block_chars`` characters of items make one automaton, which is broadcast.
+More items are cut into blocks of that size, and the training text is still read
+once: a bit filter of bounded size picks the neighbourhoods, a join on the exact
+pieces tells each one's blocks, and the automaton of a block is built where its
+neighbourhoods are streamed, in groups of about ``PIECES`` of them.
 
 Null texts and null or short items have no runs.  Equal items under two ids
 both count.  Extra columns of either table are ignored; the tables' own columns
@@ -17,17 +23,33 @@ never clash as only named columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.functions.forms import bare, bare_with_offsets
+from textloom.functions.forms import bare, bare_with_offsets, run_hashes, runs_by_text
+from textloom.llm.keyfilter import KeyFilter
+from textloom.session import cut, table
 
 ANCHOR = 8
 MIN_RUN = 20
 BLOCK_CHARS = 300_000
+PIECES = 20_000
+
+
+def around(anchors: list[int], min_run: int, n: int) -> list[tuple[int, int]]:
+    """Stretches of a text of ``n`` characters that hold all runs with a piece at one of the positions."""
+    stride = min_run - ANCHOR + 1
+    found: list[list[int]] = []
+    for p in anchors:
+        if found and p - stride < found[-1][1]:
+            found[-1][1] = p + min_run + 1
+        else:
+            found.append([max(0, p - stride + 1), p + min_run + 1])
+    return [(a, min(b, n)) for a, b in found]
 
 
 class SuffixAutomaton:
@@ -100,15 +122,8 @@ class SuffixAutomaton:
 
     def neighbourhoods(self, text: str) -> list[tuple[int, int]]:
         """Stretches of the text that may hold a run of min_run known characters."""
-        stride, known = self.min_run - ANCHOR + 1, self.anchors
-        found: list[list[int]] = []
-        for p in range(0, len(text) - ANCHOR + 1, stride):
-            if text[p : p + ANCHOR] in known:
-                if found and p - stride < found[-1][1]:
-                    found[-1][1] = p + self.min_run + 1
-                else:
-                    found.append([max(0, p - stride + 1), p + self.min_run + 1])
-        return [(a, min(b, len(text))) for a, b in found]
+        known, stride = self.anchors, self.min_run - ANCHOR + 1
+        return around([p for p in range(0, len(text) - ANCHOR + 1, stride) if text[p : p + ANCHOR] in known], self.min_run, len(text))
 
     def matches(self, text: str) -> Iterator[tuple[int, int, int]]:
         """(start, end, item) of each maximal stretch of the text in which each position ends a run shared with the item."""
@@ -144,21 +159,96 @@ class SuffixAutomaton:
                 yield span[0], span[1], item
 
 
-def _item_blocks(items: DataFrame, id_col: str, text_col: str, min_run: int, block_chars: int):
-    """Automata over blocks of items, each of a bounded number of characters, with the ids of each text."""
-    known = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("item")).where("item is not null")
-    total = known.agg(F.sum(F.length("item")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-int(total) // block_chars))
-    for b in range(blocks):
-        by_text: dict[str, set[str]] = {}
-        for row in known.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).toLocalIterator():
-            by_text.setdefault(bare(row["item"]), set()).add(row["id"])
-        texts = sorted(t for t in by_text if len(t) >= min_run)
-        if texts:
-            yield SuffixAutomaton(texts, min_run), [sorted(by_text[t]) for t in texts]
+_SPANS = "key long, source string, item_id string, bare_start int, bare_end int, bare_chars int"
+_FOUND = "key long, source string, content binary, bare_start int, bare_end int, bare_chars int"
+_PIECE = "key long, source string, first int, piece string, anchors array<long>, bare_chars int"
+
+
+def _record_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows) if rows else [[]] * len(fields), fields)], names=[n for n, _ in fields])
+
+
+def _bare_items(items: DataFrame, id_col: str, text_col: str, min_run: int) -> tuple[DataFrame, DataFrame]:
+    """(ids, texts): the id and content hash of each item, and each distinct bare form once."""
+
+    def plain(batches):
+        for batch in batches:
+            rows = [(i, bare(t)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield _record_batch([(i, xxhash.xxh3_128_digest(t), t) for i, t in rows if len(t) >= min_run], "id string, content binary, item string")
+
+    named = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("item")).where("item is not null and id is not null")
+    known = cut(named.mapInArrow(plain, "id string, content binary, item string"))
+    return known.select("id", "content").distinct(), known.groupBy("content").agg(F.first("item").alias("item"))
+
+
+def _streamed(rows: DataFrame, texts: list[tuple[bytes, str]], min_run: int) -> DataFrame:
+    """Stretches found by one broadcast automaton of all items."""
+    texts = sorted(texts, key=lambda x: x[1])
+    shipped = rows.sparkSession.sparkContext.broadcast((SuffixAutomaton([t for _, t in texts], min_run), [bytes(c) for c, _ in texts]))
+
+    def scan(batches):
+        known, contents = shipped.value
+        for batch in batches:
+            out: list[tuple] = []
+            for k, s, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                plain = bare(t)
+                out.extend((k, s, contents[item], a, b, len(plain)) for a, b, item in known.matches(plain))
+            if out:
+                yield _record_batch(out, _FOUND)
 
+    return rows.mapInArrow(scan, _FOUND)
 
-_SPANS = "key long, source string, item_id string, bare_start int, bare_end int, start_pos int, end_pos int, bare_chars int, n_chars int"
+
+def _partitioned(rows: DataFrame, texts: DataFrame, blocks: int, chars: int, min_run: int) -> DataFrame:
+    """Stretches found by the automata of blocks of items, each where its neighbourhoods are; one pass over ``rows``."""
+    texts = cut(texts.withColumn("block", F.pmod(F.xxhash64("content"), F.lit(blocks)).cast("int")))
+
+    def pieces_of(batches):
+        for batch in batches:
+            for block, h in zip(batch.column(1).to_pylist(), runs_by_text(batch.column(0).to_pylist(), ANCHOR)):
+                h = np.unique(h)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), block, np.int32))], names=["anchor", "block"])
+
+    anchors = cut(texts.select("item", "block").mapInArrow(pieces_of, "anchor long, block int").distinct())
+    shipped = rows.sparkSession.sparkContext.broadcast(KeyFilter.of(anchors.select("anchor"), chars))
+    stride = min_run - ANCHOR + 1
+
+    def scan(batches):
+        known = shipped.value
+        for batch in batches:
+            out: list[tuple] = []
+            for k, s, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                plain = bare(t)
+                h = run_hashes(plain, ANCHOR)[::stride]
+                held = np.flatnonzero(known.holds(h))
+                if not len(held):
+                    continue
+                at, anchor = held * stride, h.view(np.int64)
+                for a, b in around(at.tolist(), min_run, len(plain)):
+                    inside = held[(at >= a) & (at < b)]
+                    out.append((k, s, a, plain[a:b], np.unique(anchor[inside]).tolist(), len(plain)))
+            if out:
+                yield _record_batch(out, _PIECE)
+
+    pieces = cut(rows.mapInArrow(scan, _PIECE))
+    near = pieces.select("key", "first", F.explode("anchors").alias("anchor")).join(anchors, "anchor").select("key", "first", "block").distinct()
+    met = cut(pieces.drop("anchors").join(near, ["key", "first"]))
+    shares = cut(met.groupBy("block").agg(F.ceil(F.count("*") / PIECES).cast("int").alias("shares")))
+    met = met.join(shares, "block").withColumn("share", F.pmod(F.xxhash64("key", "first"), F.col("shares")).cast("int")).drop("shares")
+    spread = texts.join(shares, "block").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+
+    def stream(items: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(items) and len(found):
+            contents = list(items["content"])
+            known = SuffixAutomaton(list(items["item"]), min_run)
+            for k, s, first, piece, n in found[["key", "source", "first", "piece", "bare_chars"]].itertuples(index=False):
+                out.extend((k, s, contents[item], first + a, first + b, n) for a, b, item in known.matches(piece))
+        return pd.DataFrame(out, columns=[f.split()[0] for f in _FOUND.split(", ")])
+
+    return spread.groupBy("block", "share").cogroup(met.groupBy("block", "share")).applyInPandas(stream, _FOUND)
 
 
 def leaked_spans(
@@ -173,46 +263,23 @@ def leaked_spans(
     min_run: int = MIN_RUN,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """One row per document, item and stretch they share.
+    """One row per document, item and stretch they share; offsets count in the document's bare form.
 
-    ``bare_start`` and ``bare_end`` count in the document's bare form, ``start_pos``
-    and ``end_pos`` in its text.  Items are taken in blocks of at most about
-    ``block_chars`` characters, one pass over the documents each, so what is
-    broadcast stays bounded however many items there are.
+    The documents are read once, however many items there are; what is broadcast
+    and what a task holds is bounded by ``block_chars``.
     """
     if min_run < ANCHOR:
         raise ValueError(f"min_run must be at least {ANCHOR}")
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")).where("text is not null")
-    parts = []
-    for automaton, ids in _item_blocks(items, item_id, item_text, min_run, block_chars):
-        shipped = spark.sparkContext.broadcast((automaton, ids))
-
-        def scan(batches, shipped=shipped):
-            known, names = shipped.value
-            for batch in batches:
-                out: list[tuple] = []
-                for k, s, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    plain = bare(t)
-                    hits = list(known.matches(plain))
-                    if not hits:
-                        continue
-                    again, starts, ends = bare_with_offsets(t)
-                    exact = again == plain
-                    for a, b, item in hits:
-                        start, end = (starts[a], ends[b - 1]) if exact else (0, len(t))
-                        out.extend((k, s, name, a, b, start, end, len(plain), len(t)) for name in names[item])
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out), _TYPES)], names=_NAMES)
-
-        parts.append(rows.mapInArrow(scan, _SPANS))
-    if not parts:
-        return spark.createDataFrame([], _SPANS)
-    return reduce(DataFrame.unionAll, parts)
-
-
-_NAMES = [f.split()[0] for f in _SPANS.split(", ")]
-_TYPES = [{"long": pa.int64(), "string": pa.string(), "int": pa.int32()}[f.split()[1]] for f in _SPANS.split(", ")]
+    ids, texts = _bare_items(items, item_id, item_text, min_run)
+    chars = int(texts.agg(F.sum(F.length("item"))).first()[0] or 0)
+    if not chars:
+        return docs.sparkSession.createDataFrame([], _SPANS)
+    if chars <= block_chars:
+        found = _streamed(rows, [(r["content"], r["item"]) for r in texts.toLocalIterator()], min_run)
+    else:
+        found = _partitioned(rows, texts, -(-chars // block_chars), chars, min_run)
+    return found.join(ids.withColumnRenamed("id", "item_id"), "content").select("key", "source", "item_id", "bare_start", "bare_end", "bare_chars")
 
 
 def leaked_items(spans: DataFrame) -> DataFrame:
@@ -240,48 +307,43 @@ def without_leaks(
     Other verdicts are ``cut`` and ``keep``.  Null texts are kept as they are.
     Overlapping stretches are merged before they are counted or cut.
     """
-    each = (
-        spans.where(F.col("bare_end") - F.col("bare_start") >= max_run)
-        .groupBy("key")
-        .agg(F.array_sort(F.collect_set(F.struct("bare_start", "bare_end", "start_pos", "end_pos"))).alias("spans"), F.first("bare_chars").alias("bare_chars"))
-    )
-    joined = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(each, F.col("_key") == F.col("key"), "left")
-
-    def merged(start: str, end: str):
-        """Fold the sorted stretches into disjoint ones."""
-        kind = "array<struct<a:int,b:int>>"
-        return F.aggregate(
-            F.array_sort(F.transform("spans", lambda s: F.struct(s[start].alias("a"), s[end].alias("b")))),
-            F.from_json(F.lit("[]"), kind),
-            lambda acc, s: F.when(
-                (F.size(acc) > 0) & (s["a"] <= F.element_at(acc, -1)["b"]),
-                F.concat(
-                    F.slice(acc, 1, F.size(acc) - 1),
-                    F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], s["b"]).alias("b"))),
-                ),
-            ).otherwise(F.concat(acc, F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))),
-        )
-
-    out = joined.withColumn("flat", merged("bare_start", "bare_end")).withColumn("cuts", merged("start_pos", "end_pos"))
-    leaked = F.aggregate("flat", F.lit(0), lambda acc, s: acc + s["b"] - s["a"])
-    out = out.withColumn("leaked_chars", F.coalesce(leaked, F.lit(0))).withColumn("coverage", F.coalesce(F.col("leaked_chars") / F.col("bare_chars"), F.lit(0.0)))
-    verdict = F.when(F.col("coverage") > max_coverage, "drop").when(F.col("leaked_chars") > 0, "cut").otherwise("keep")
-    pieces = F.aggregate(
-        "cuts",
-        F.struct(F.lit("").alias("t"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.concat(acc["t"], F.expr("_text").substr(acc["at"] + 1, F.greatest(s["a"] - acc["at"], F.lit(0)))).alias("t"),
-            s["b"].alias("at"),
-        ),
-        lambda acc: F.concat(acc["t"], F.expr("_text").substr(acc["at"] + 1, F.lit(1 << 30))),
-    )
-    return out.select(
-        F.col("_key").alias(key),
-        verdict.alias("verdict"),
-        "leaked_chars",
-        F.round("coverage", 6).alias("coverage"),
-        F.when(verdict == "cut", pieces).when(verdict == "keep", F.col("_text")).alias("clean_text"),
-    )
+    stretch = F.struct(F.col("bare_start").alias("a"), F.col("bare_end").alias("b"))
+    each = spans.where(F.col("bare_end") - F.col("bare_start") >= max_run).groupBy("key").agg(F.array_sort(F.collect_set(stretch)).alias("spans"))
+    joined = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).join(each, F.col("_key") == F.col("key"), "left").select("_key", "_text", "spans")
+
+    def clean(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for k, t, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if t is None or not found:
+                    out.append((k, "keep", 0, 0.0, t))
+                    continue
+                flat: list[list[int]] = []
+                for s in found:  # sorted: overlapping stretches become one
+                    if flat and s["a"] <= flat[-1][1]:
+                        flat[-1][1] = max(flat[-1][1], s["b"])
+                    else:
+                        flat.append([s["a"], s["b"]])
+                leaked, plain = sum(b - a for a, b in flat), bare(t)
+                coverage = round(leaked / len(plain), 6)
+                if coverage > max_coverage:
+                    out.append((k, "drop", leaked, coverage, None))
+                    continue
+                again, starts, ends = bare_with_offsets(t)
+                cuts = [(starts[a], ends[b - 1]) for a, b in flat] if again == plain else [(0, len(t))]
+                kept, at = [], 0
+                for a, b in cuts:
+                    kept.append(t[at : max(at, a)])
+                    at = max(at, b)
+                out.append((k, "cut", leaked, coverage, "".join([*kept, t[at:]])))
+            cols = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, ty) for c, ty in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.string()))],
+                names=["_key", "verdict", "leaked_chars", "coverage", "clean_text"],
+            )
+
+    done = joined.mapInArrow(clean, "_key long, verdict string, leaked_chars int, coverage double, clean_text string")
+    return done.withColumnRenamed("_key", key)
 
 
 def p1_found(spark, sf_dir) -> DataFrame:
@@ -304,7 +366,5 @@ def p1_report(spark, sf_dir) -> DataFrame:
 
 
 def _tables(spark, sf_dir):
-    from textloom.session import table
-
     items = table(spark, sf_dir, "nikl_pairs").where("split = 'test'").select(F.col("id").alias("nikl_id"), "src")
     return table(spark, sf_dir, "documents"), items
