@@ -108,6 +108,8 @@ def test_near_duplicates(spark):
         members, links = D.near_duplicates(docs, tile=tile)
         got = {(r["a"], r["b"]) for r in D.all_pairs(members, links).collect()}
         assert got <= want and len(want - got) <= 0.01 * len(want)
+    every = {(r["a"], r["b"]) for tile in (1024, 5) for r in D.all_pairs(*D.near_duplicates(docs, tile=tile, exact=True)).collect()}
+    assert every == want
     few = {(r["a"], r["b"]) for r in D.all_pairs(members, links, copies=2).collect()}
     assert few < got and {x for p in few for x in p} == {x for p in got for x in p}  # representatives stand for copies, nobody is lost
     assert D.near_duplicates(docs.limit(0))[1].count() == 0
@@ -128,6 +130,17 @@ def test_tile_filter_loses_no_true_pair():
     assert not D.within_radius(level.astype(int), sizes, maps, np.array([0]), np.array([5]), 0.7)[0]
 
 
+def test_exact_way_at_the_threshold(spark):
+    """Pairs right at the similarity, of short and long texts: the exact way has all of them."""
+    rng, rows = random.Random(13), []
+    for b in range(250):
+        base = random_text(rng, rng.choice((20, 40, 90, 300, 900)))
+        rows += [(2 * b, base), (2 * b + 1, substituted(rng, base, max(1, round(len(base) * 0.022))))]
+    want = pairs_by_force(rows, 0.7)
+    members, links = D.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), exact=True)
+    assert len(want) > 60 and {(r["a"], r["b"]) for r in D.all_pairs(members, links).collect()} == want
+
+
 def test_groups(spark, tmp_path):
     rows = corpus()
     folder = f"{tmp_path}/sf"
