@@ -98,7 +98,7 @@ def test_cell_errors():
     assert E.cell_errors("", "", "abc") == (0, 0)
 
 
-@pytest.mark.parametrize("raw, canonical", [(r"{1 \over 2}", r"\frac{1}{2}"), (r"x^2", r"x^{2}"), (r"\dfrac{a}{b}", r"\frac{a}{b}"), (r"a \le b % c", r"a \leq b")])
+@pytest.mark.parametrize("raw, canonical", [(r"{1 \over 2}", r"\frac{1}{2}"), (r"x^2", r"x^{2}"), (r"\dfrac{a}{b}", r"\frac{a}{b}"), (r"a \le b % c", r"a\leq b")])
 def test_latex(raw, canonical):
     assert E.canonical_latex(raw) == canonical
     assert E.canonical_latex(canonical) == canonical

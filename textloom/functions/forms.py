@@ -31,6 +31,23 @@ def bare(text: str) -> str:
     return unicodedata.normalize("NFKC", text).casefold().translate(_KEEP)
 
 
+class _Loose(dict):
+    """Translation table that drops punctuation, symbols, separators, control and format characters."""
+
+    def __missing__(self, code: int):
+        kind = unicodedata.category(chr(code))
+        self[code] = keep = None if kind[0] in "PSZ" or kind in ("Cc", "Cf") else code
+        return keep
+
+
+_LOOSE = _Loose()
+
+
+def loose(text: str) -> str:
+    """The case-folded NFKC form without punctuation, symbols, separators, control and format characters."""
+    return unicodedata.normalize("NFKC", text).casefold().translate(_LOOSE)
+
+
 def squeezed(text: str) -> str:
     """Lower case, each stretch of white space one space, ends trimmed."""
     return " ".join(text.lower().split())

@@ -1,11 +1,19 @@
-"""Native column functions on text, cells and keys; all stay inside whole-stage code generation.
+"""Column functions on text, cells and keys.
 
-White space here is that of the regular expression class ``\\s`` of the JVM (ASCII).
+All but the Unicode normal forms (``nfc``, ``loose``, which the JVM functions lack
+and which go by Arrow batches) stay inside whole-stage code generation.  White
+space is ASCII.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
+
+from textloom.functions import forms
 
 CELL = "\\x{2800}-\\x{28FF}"
 # Upper bounds of the length buckets, and the bucket names of the records.
@@ -19,6 +27,21 @@ def c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+@F.pandas_udf(StringType())
+def _nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
+@F.pandas_udf(StringType())
+def _loose(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else forms.loose(x))
+
+
+def nfc(x: str | Column) -> Column:
+    """The composed normal form."""
+    return _nfc(c(x))
+
+
 def stripped(x: str | Column) -> Column:
     """Without blanks and tabs at the ends."""
     return F.regexp_replace(c(x), "^[ \\t]+|[ \\t]+$", "")
@@ -30,13 +53,13 @@ def squeezed_blanks(x: str | Column) -> Column:
 
 
 def loose(x: str | Column) -> Column:
-    """Lower case without punctuation, symbols, separators, control and format characters."""
-    return F.regexp_replace(F.lower(c(x)), "[\\p{P}\\p{S}\\p{Z}\\p{Cc}\\p{Cf}]+", "")
+    """The case-folded NFKC form without punctuation, symbols, separators, control and format characters."""
+    return _loose(c(x))
 
 
-def key60(x: str | Column) -> Column:
-    """The first 15 hexadecimal digits of SHA-1 as a number."""
-    return F.conv(F.substring(F.sha1(c(x)), 1, 15), 16, 10).cast("bigint")
+def key64(x: str | Column) -> Column:
+    """The first 64 bits of SHA-1 as a signed number."""
+    return F.conv(F.substring(F.sha1(c(x)), 1, 16), 16, -10).cast("bigint")
 
 
 def uniform(seed: str, *keys: str | Column) -> Column:
@@ -56,10 +79,9 @@ def sub_sentences(x: str | Column) -> Column:
     return F.filter(parts, lambda p: (F.length(p) >= 16) | ((F.length(p) >= 8) & p.rlike("[\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}]")))
 
 
-def unit_keys(x: str | Column) -> Column:
-    """Exact key, and a loose key where the loose form has at least 8 characters."""
-    lo = loose(x)
-    return F.array_compact(F.array(key60(squeezed_blanks(x)), F.when(F.length(lo) >= 8, key60(F.concat(F.lit("~"), lo)))))
+def unit_keys(x: str | Column, lo: str | Column) -> Column:
+    """64-bit keys of a unit in NFC and of its loose form, where that has at least 8 characters."""
+    return F.array_compact(F.array(F.xxhash64(squeezed_blanks(x)), F.when(F.length(c(lo)) >= 8, F.xxhash64(F.concat(F.lit("~"), c(lo))))))
 
 
 def letters(x: str | Column) -> Column:

@@ -31,8 +31,8 @@ def unknown_codes(records: DataFrame, inventory: DataFrame) -> DataFrame:
 
 def shared_units(a: DataFrame, b: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, hits): rows of ``a`` that share a line or sub-sentence with ``b``."""
-    units = lambda rows: L.text_units(rows.select(F.col(key), F.explode(F.split(text, "\n")).alias("line")), key)
-    return L.units_in(units(a), units(b), key)
+    units = lambda rows, distinct: L.text_units(rows.select(F.col(key), F.explode(F.split(T.nfc(text), "\n")).alias("line")), key, distinct)
+    return L.units_in(units(a, False), units(b, True), key)
 
 
 def one_code_per_text(records: DataFrame) -> DataFrame:

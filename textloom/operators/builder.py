@@ -20,6 +20,9 @@ Transcribe = Callable[[str, str], "tuple[str | None, str | None]"]
 _RESULT = t.StructType([t.StructField("braille", t.StringType()), t.StructField("reason", t.StringType())])
 # Languages written without blanks between words.
 UNSPACED = ["zh", "ja", "th", "lo", "my", "km", "bo", "yue"]
+# Codes whose sentences are joined without a blank, and the characters between which none stands.
+JOINED = ["cmn", "yue", "ja", "zh", "lzh", "wuu"]
+WIDE = "[\\x{3000}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{FF00}-\\x{FFEF}]"
 
 
 def builtin(table: str, text: str) -> tuple[str | None, str | None]:
@@ -68,14 +71,17 @@ def transcribe(rows: DataFrame, table: str, text: str, provider: str = "builtin"
 def rejections(rows: DataFrame, group: str, most_examples: int = 5) -> DataFrame:
     """(group, reason, n, examples): counts of refusals with a few of the smallest texts."""
     counted = rows.where("reason is not null").groupBy(group, "reason", "text").agg(F.count("*").alias("_n"))
-    ranked = counted.withColumn("_at", F.row_number().over(Window.partitionBy(group, "reason").orderBy("text")))
-    return ranked.groupBy(group, "reason").agg(F.sum("_n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_at") <= most_examples, F.col("text")))).alias("examples"))
+    # Partial tops by hash, so no task sorts all texts of one group.
+    part = Window.partitionBy(group, "reason", F.pmod(F.xxhash64("text"), F.lit(64))).orderBy("text")
+    few = counted.withColumn("_at", F.row_number().over(part)).where(F.col("_at") <= most_examples)
+    examples = few.groupBy(group, "reason").agg(F.slice(F.array_sort(F.collect_list("text")), 1, most_examples).alias("examples"))
+    sums = counted.groupBy(group, "reason").agg(F.sum("_n").alias("n"))
+    return sums.join(examples.select(F.col(group).alias("_g"), F.col("reason").alias("_r"), "examples"), F.col(group).eqNullSafe(F.col("_g")) & (F.col("reason") == F.col("_r"))).drop("_g", "_r")
 
 
 def joined_sentences(lang: Column, parts: Column) -> Column:
-    """Sentences joined without a blank in unspaced languages, or where both sides of a joint are ideographs or kana; else with one."""
-    wide = "[\\x{3000}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{FF00}-\\x{FFEF}]"
-    step = lambda a, p: F.when(a == "", p).when(lang.isin(UNSPACED) | (F.right(a, F.lit(1)).rlike(wide) & F.left(p, F.lit(1)).rlike(wide)), F.concat(a, p)).otherwise(F.concat(a, F.lit(" "), p))
+    """Sentences joined without a blank in Chinese and Japanese, or where both sides of a joint are ideographs, kana or full-width; else with one."""
+    step = lambda a, p: F.when(a == "", p).when(lang.isin(JOINED) | (F.right(a, F.lit(1)).rlike(WIDE) & F.left(p, F.lit(1)).rlike(WIDE)), F.concat(a, p)).otherwise(F.concat(a, F.lit(" "), p))
     return F.aggregate(parts, F.lit(""), step)
 
 

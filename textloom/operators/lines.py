@@ -9,8 +9,8 @@ from textloom.functions import text as T
 
 
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, line): each line of each text; null texts have none."""
-    return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    """(key, pos, line): each line of each text in NFC; null texts have none."""
+    return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(T.nfc(text), "\n")).alias("pos", "line"))
 
 
 def clean_lines(lines: DataFrame, least: int = 20, most: int = 600) -> DataFrame:
@@ -28,16 +28,20 @@ def first_of_each(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, "_r.*")
 
 
-def text_units(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, h): distinct keys of the lines and of their sub-sentences."""
+def text_units(lines: DataFrame, key: str = "doc_id", distinct: bool = True) -> DataFrame:
+    """(key, h): keys of the lines (in NFC) and of their sub-sentences, each once per key if ``distinct``."""
     pieces = F.concat(F.array(T.squeezed_blanks("line")), T.sub_sentences("line"))
-    units = lines.select(key, F.explode(F.array_distinct(pieces)).alias("unit")).where("unit <> ''")
-    return units.select(key, F.explode(T.unit_keys("unit")).alias("h")).distinct()
+    units = lines.select(key, F.explode(F.array_distinct(pieces)).alias("unit")).where("unit <> ''").withColumn("lo", T.loose("unit"))
+    keys = units.select(key, F.explode(T.unit_keys("unit", "lo")).alias("h"))
+    return keys.distinct() if distinct else keys
 
 
 def units_in(units: DataFrame, registry: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows whose units occur in the registry, with how many of them do."""
-    return units.join(registry.select("h").distinct(), "h", "left_semi").groupBy(key).agg(F.count("*").alias("hits"))
+    """Rows whose units occur in the registry, with how many of them do.
+
+    The semi-join comes first, so only units of the registry are shuffled to be told apart.
+    """
+    return units.join(registry.select("h").distinct(), "h", "left_semi").distinct().groupBy(key).agg(F.count("*").alias("hits"))
 
 
 def prefer_sources(lines: DataFrame, priority: dict[str, int], group: str, source: str = "source") -> DataFrame:
@@ -51,12 +55,13 @@ def prefer_sources(lines: DataFrame, priority: dict[str, int], group: str, sourc
 def clean_runs(flags: DataFrame, key: str, order: str, flag: str, longest: int = 8) -> DataFrame:
     """(key, k, runs): windows of k consecutive rows whose flag holds throughout, for k up to ``longest``."""
     w = Window.partitionBy(key).orderBy(order)
-    out = None
-    for k in range(1, longest + 1):
-        whole = (F.min(F.col(flag).cast("int")).over(w.rowsBetween(1 - k, 0)) == 1) & (F.row_number().over(w) >= k)
-        part = flags.select(key, whole.cast("bigint").alias("w")).groupBy(key).agg(F.sum("w").alias("runs")).withColumn("k", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    return out
+    # Rows of one stretch of holding flags have one difference of rank and count: n of them hold n - k + 1 windows of k.
+    stretch = F.row_number().over(w) - F.sum(F.col(flag).cast("int")).over(w)
+    held = flags.withColumn("_s", stretch).where(flag).groupBy(key, "_s").agg(F.count("*").alias("_n"))
+    sizes = F.array(*[F.lit(k) for k in range(1, longest + 1)])
+    runs = held.select(key, "_n", F.explode(sizes).alias("k")).groupBy(key, "k").agg(F.sum(F.greatest(F.col("_n") - F.col("k") + 1, F.lit(0))).alias("runs"))
+    every = flags.select(key).distinct().select(key, F.explode(sizes).alias("k"))
+    return every.join(runs, [key, "k"], "left").select(key, F.coalesce("runs", F.lit(0)).alias("runs"), "k")
 
 
 def consecutive(lines: DataFrame, n: int, key: str = "doc_id", order: str = "pos") -> DataFrame:

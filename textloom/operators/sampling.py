@@ -29,7 +29,7 @@ def stratified(rows: DataFrame, strata: list[str], n: int, seed: str, key: str)
     """About n rows in proportion to the strata, at least one of each."""
     sizes = rows.groupBy(*strata).agg(F.count("*").alias("_size"))
     quota = sizes.withColumn("_quota", F.greatest(F.lit(1), F.bround(F.lit(n) * F.col("_size") / F.sum("_size").over(Window.partitionBy())).cast("int"))).drop("_size")
-    joined = hash_rank(rows, strata, seed, key, "_rank").alias("r").join(F.broadcast(quota.alias("q")), [F.col(f"r.{s}").eqNullSafe(F.col(f"q.{s}")) for s in strata])
+    joined = hash_rank(rows, strata, seed, key, "_rank").alias("r").join(quota.alias("q"), [F.col(f"r.{s}").eqNullSafe(F.col(f"q.{s}")) for s in strata])
     return joined.where("_rank <= _quota").select("r.*").drop("_rank")
 
 
@@ -50,15 +50,22 @@ def without_replacement(rows: DataFrame, n: int, weight: str, seed: str, key: st
     return drawn.orderBy("draw", key).limit(n)
 
 
-def weighted_choice(draws: DataFrame, choices: DataFrame, weight: str, key: str, u: str) -> DataFrame:
+def _few(rows: DataFrame, most: int) -> DataFrame:
+    """The rows, to be broadcast; an error if there are more than ``most``."""
+    if len(rows.limit(most + 1).select(F.lit(1)).collect()) > most:
+        raise ValueError(f"more than {most} choices")
+    return F.broadcast(rows)
+
+
+def weighted_choice(draws: DataFrame, choices: DataFrame, weight: str, key: str, u: str, most: int = 100_000) -> DataFrame:
     """Each draw u in [0, 1) takes the choice whose cumulated weight range holds it.
 
-    ``choices`` is a small dimension table; it is cumulated in the order of its key.
+    ``choices`` has at most ``most`` rows (more are an error); it is cumulated in the order of its key.
     """
     order = Window.partitionBy().orderBy(key)
     ranges = choices.withColumn("_high", F.round(F.sum(weight).over(order) / F.sum(weight).over(Window.partitionBy()), 9))
     ranges = ranges.withColumn("_low", F.coalesce(F.lag("_high").over(order), F.lit(0.0)))
-    return draws.join(F.broadcast(ranges), (F.col(u) >= F.col("_low")) & (F.col(u) < F.col("_high"))).drop("_low", "_high")
+    return draws.join(_few(ranges, most), (F.col(u) >= F.col("_low")) & (F.col(u) < F.col("_high"))).drop("_low", "_high")
 
 
 def table_weights(tables: DataFrame, anchors: dict[str, float], head_share: float) -> DataFrame:
@@ -68,5 +75,5 @@ def table_weights(tables: DataFrame, anchors: dict[str, float], head_share: floa
     langs = live.where("live").groupBy("base_lang").agg(F.count("*").alias("_n"))
     tail = langs.where(~F.col("base_lang").isin(list(anchors))).agg(F.count("*").alias("_tail"))
     share = F.when(anchor[F.col("base_lang")].isNotNull(), F.lit(head_share) * anchor[F.col("base_lang")] / F.lit(sum(anchors.values()))).otherwise(F.lit(1 - head_share) / F.col("_tail"))
-    out = live.join(langs, "base_lang", "left").crossJoin(F.broadcast(tail))
+    out = live.join(langs, "base_lang", "left").join(tail)
     return out.withColumn("table_weight", F.when(F.col("live"), share / F.col("_n")).otherwise(F.lit(0.0))).drop("_n", "_tail", "live")

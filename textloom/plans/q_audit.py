@@ -38,7 +38,7 @@ def missed_targets(spark, d):
 
 def registry_difference(spark, d):
     """Line keys of the documents added before and after the middle of their ids."""
-    lines = L.clean_lines(_doc_lines(spark, d)).select("source", "doc_id", T.key60("line").alias("h"))
+    lines = L.clean_lines(_doc_lines(spark, d)).select("source", "doc_id", T.key64("line").alias("h"))
     return A.registry_difference(lines.where("doc_id % 2 = 0"), lines.where("doc_id % 2 = 1"))
 
 
@@ -65,8 +65,8 @@ def pair_checks(spark, d):
 
 
 def article_shards(spark, d):
-    """Documents of a language as articles: shard B up to 200 lines, then A up to 400."""
-    docs = table(spark, d, "documents").where("text is not null and lang in ('en', 'ko', 'de')").select("lang", "doc_id", F.split("text", "\n").alias("s"))
+    """Documents of each language as articles: shard B up to 200 lines, then A up to 400."""
+    docs = table(spark, d, "documents").where("text is not null and lang is not null").select("lang", "doc_id", F.split("text", "\n").alias("s"))
     return C.article_shards(docs, "doc_id", "s", "lang", 200, 400).groupBy("lang", "shard").agg(F.count("*").alias("articles"), F.sum(F.size("s")).alias("lines"))
 
 
@@ -90,7 +90,7 @@ QUERIES = {
 
 
 def _split_units(split: str) -> str:
-    return _units(f"SELECT id, unnest(string_split(text, chr(10))) AS line FROM ({_LATEST}) WHERE split = '{split}' AND text IS NOT NULL", "id")
+    return _units(f"SELECT id, unnest(string_split(nfc_normalize(text), chr(10))) AS line FROM ({_LATEST}) WHERE split = '{split}' AND text IS NOT NULL", "id")
 
 
 _UNKNOWN = f"""
@@ -114,7 +114,7 @@ ORACLES = {
             sum(coalesce(NOT regexp_matches(replace(tgt, ' ', '⠀'), '^[\x{2800}-\x{28FF}]*$'), false)::INT)::BIGINT AS not_cells, sum((tgt IS NULL)::INT)::BIGINT AS no_cells, count(DISTINCT src) AS texts
         FROM nikl_pairs GROUP BY genre""",
     "article_shards": """
-        WITH d AS (SELECT lang, doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL AND lang IN ('en', 'ko', 'de')),
+        WITH d AS (SELECT lang, doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
         s AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
         SELECT lang, CASE WHEN before < 200 THEN 'B' WHEN before < 600 THEN 'A' END AS shard, count(*) AS articles, sum(n)::BIGINT AS lines FROM s GROUP BY 1, 2""",
     "redelivered_texts": "SELECT id, count(*) AS n, count(DISTINCT text) AS texts, max(loaded_at) AS last FROM records GROUP BY id HAVING count(*) > 1",

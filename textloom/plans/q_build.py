@@ -15,33 +15,32 @@ from textloom.session import table
 from textloom.streaming import events as V
 
 
-def _latin(spark, d):
-    s = R.segments_long(_records(spark, d))
-    return s.where("table_id rlike '^(en|de|fr|es)-'")
+def _segments(spark, d):
+    return R.segments_long(_records(spark, d))
 
 
 def transcription_reasons(spark, d):
-    done = B.transcribe(_latin(spark, d), "table_id", "text")
+    done = B.transcribe(_segments(spark, d), "table_id", "text")
     return done.groupBy("table_id", F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("segments"), F.sum(F.length("braille")).alias("cells"))
 
 
 def transcription_pending(spark, d):
-    return B.transcribe(_latin(spark, d), "table_id", "text", provider="external").groupBy("reason").agg(F.count("*").alias("segments"))
+    return B.transcribe(_segments(spark, d), "table_id", "text", provider="external").groupBy("reason").agg(F.count("*").alias("segments"))
 
 
 def rejection_examples(spark, d):
-    r = B.rejections(B.transcribe(_latin(spark, d), "table_id", "text"), "table_id")
+    r = B.rejections(B.transcribe(_segments(spark, d), "table_id", "text"), "table_id")
     return r.select("table_id", "reason", "n", F.sha1(F.array_join("examples", "\u001f")).alias("examples"))
 
 
 def usable_tables(spark, d):
     """Tables that accept at least 2 % of their segments."""
-    done = B.transcribe(_latin(spark, d), "table_id", "text").groupBy("table_id").agg(F.count("*").alias("n"), F.count("braille").alias("accepted"))
+    done = B.transcribe(_segments(spark, d), "table_id", "text").groupBy("table_id").agg(F.count("*").alias("n"), F.count("braille").alias("accepted"))
     return done.select("table_id", "n", "accepted", (F.col("accepted") >= 0.02 * F.col("n")).alias("usable"))
 
 
 def feasible_shares(spark, d):
-    h = _latin(spark, d).where("braille is not null").select("table_id", "text", "braille")
+    h = _segments(spark, d).where("braille is not null").select("table_id", "text", "braille")
     f = B.feasible(h)
     return f.groupBy("table_id").agg(F.count("*").alias("n"), F.sum(F.col("feasible").cast("bigint")).alias("feasible"), F.count("d_cell").alias("encoded"))
 
@@ -60,17 +59,18 @@ def snippets(spark, d):
 
 
 def mixed_documents(spark, d):
-    s = R.segments_long(_records(spark, d)).where("pos = 0").select("id", "table_id", "text")
+    """Segments of different tables in documents of three."""
+    s = _segments(spark, d).select(F.concat_ws(":", "id", "pos").alias("id"), "table_id", "text")
     m = B.mixed(s, 3, "mix")
     return m.select("doc", F.array_join(F.transform("segments", lambda x: x["table_id"]), ",").alias("tables"), F.array_join(F.transform("segments", lambda x: x["id"]), ",").alias("ids"))
 
 
 def line_spreading(spark, d):
     """Lines given to tables of their language by need: every need held, no line twice."""
-    lines = L.clean_lines(_doc_lines(spark, d)).where("lang in ('ko', 'en')").select(F.concat_ws(":", "doc_id", "pos").alias("line"), "lang")
-    inv = table(spark, d, "inventory").where("not holdout and status = 'current'").select(F.col("table_id").alias("table"), F.col("base_lang").alias("lang"))
+    lines = L.clean_lines(_doc_lines(spark, d)).where("lang is not null").select(F.concat_ws(":", "doc_id", "pos").alias("line"), F.lower(F.substring("lang", 1, 2)).alias("lang"))
+    inv = table(spark, d, "inventory").where("not holdout and status = 'current'").select(F.col("table_id").alias("table"), F.lower(F.substring("base_lang", 1, 2)).alias("lang")).distinct()
     accepts = lines.join(inv, "lang").select("line", "table")
-    needs = inv.select("table", F.lit(20).alias("need"))
+    needs = inv.select("table", F.lit(20).alias("need")).distinct()
     return B.spread_lines(lines, needs, accepts, "spread").groupBy("table").agg(F.count("*").alias("lines"), F.max("line").alias("last"))
 
 
@@ -87,16 +87,16 @@ def resumed(spark, d):
 
 
 def stream_first_seen(spark, d):
-    """Distinct users seen by a stream over the events."""
-    s = V.event_stream(spark, d).groupBy("user_id").agg(F.count("*").alias("n"))
-    return V.run_once(s, "f" + uuid.uuid4().hex)
+    """Users of a stream of events, each given out once, when first seen."""
+    s = V.first_seen(V.event_stream(spark, d), "user_id", "ts", "400 days").select("user_id")
+    return V.run_once(s, "f" + uuid.uuid4().hex, "append").select("user_id")
 
 
 def source_mix_weights(spark, d):
-    """Head share split by weight among known sources, the rest evenly."""
-    n = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    t = table(spark, d, "source_targets")
-    return S.largest_remainder(n.join(t, "source").select("source", "target_share"), 1000, "target_share", "source").select("source", "seats")
+    """A thousand seats for the sources that documents have, by their target shares."""
+    known = table(spark, d, "documents").select("source").distinct()
+    t = table(spark, d, "source_targets").join(known, "source", "left_semi")
+    return S.largest_remainder(t.select("source", "target_share"), 1000, "target_share", "source").select("source", "seats")
 
 
 QUERIES = {
@@ -108,12 +108,12 @@ QUERIES = {
 }
 
 _A64 = T.ASCII64.replace("'", "''")
-_LAT = f"SELECT * FROM ({_SEGS}) WHERE regexp_matches(table_id, '^(en|de|fr|es)-')"
-_TR = f"SELECT *, CASE WHEN translate(upper(text), '{_A64}', '') = '' AND length(upper(text)) = length(text) THEN translate(upper(text), '{_A64}', '{T.CELLS64}') END AS enc FROM ({_LAT})"
+_UPPER = "translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+_TR = f"SELECT *, CASE WHEN translate({_UPPER}, '{_A64}', '') = '' THEN translate({_UPPER}, '{_A64}', '{T.CELLS64}') END AS enc FROM ({_SEGS})"
 _REASON = "CASE WHEN text IS NULL THEN 'missing' WHEN enc IS NULL THEN 'undefined' END"
 ORACLES = {
     "transcription_reasons": f"SELECT table_id, coalesce({_REASON}, 'ok') AS reason, count(*) AS segments, sum(length(enc))::BIGINT AS cells FROM ({_TR}) GROUP BY 1, 2",
-    "transcription_pending": f"SELECT 'pending' AS reason, count(*) AS segments FROM ({_LAT})",
+    "transcription_pending": f"SELECT 'pending' AS reason, count(*) AS segments FROM ({_SEGS})",
     "rejection_examples": f"""
         WITH c AS (SELECT table_id, {_REASON} AS reason, text, count(*) AS k, row_number() OVER (PARTITION BY table_id, {_REASON} ORDER BY text) AS r FROM ({_TR}) WHERE {_REASON} IS NOT NULL GROUP BY 1, 2, 3)
         SELECT table_id, reason, sum(k)::BIGINT AS n, sha1(string_agg(text, chr(31) ORDER BY text) FILTER (r <= 5)) AS examples FROM c GROUP BY 1, 2""",
@@ -126,7 +126,11 @@ ORACLES = {
     "filled_strata": f"""
         WITH r AS (SELECT id, form, row_number() OVER (PARTITION BY form ORDER BY {_U.format(x="'fill:' || id")}, id) AS k FROM ({_LATEST}) WHERE split = 'train')
         SELECT form, count(*) AS got, min(id) AS first, CASE WHEN count(*) < 60 THEN 60 - count(*) END AS short FROM r WHERE k <= 60 GROUP BY form""",
-    "stream_first_seen": "SELECT user_id, count(*) AS n FROM events GROUP BY 1",
+    "stream_first_seen": "SELECT DISTINCT user_id FROM events",
+    "joined_lines": f"""
+        WITH l AS (SELECT doc_id, lower(substr(lang, 1, 2)) AS lang, list(line ORDER BY pos) AS p FROM ({_CLEAN}) WHERE lang IS NOT NULL GROUP BY 1, 2)
+        SELECT doc_id, sha1(CASE WHEN lang IN ({', '.join(f"'{x}'" for x in B.JOINED)}) THEN array_to_string(p, '')
+            ELSE list_reduce(p, lambda a, x: a || CASE WHEN regexp_matches(right(a, 1), '{B.WIDE}') AND regexp_matches(left(x, 1), '{B.WIDE}') THEN '' ELSE ' ' END || x) END) AS joined FROM l""",
     "source_mix_weights": """
         WITH e AS (SELECT source, 1000 * target_share / sum(target_share) OVER () AS x FROM source_targets WHERE source IN (SELECT source FROM documents)), f AS (SELECT *, floor(x) AS lo, round(x - floor(x), 9) AS rest FROM e)
         SELECT source, (lo + (row_number() OVER (ORDER BY rest DESC, source) <= 1000 - sum(lo) OVER ())::INT)::BIGINT AS seats FROM f""",

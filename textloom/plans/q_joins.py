@@ -101,6 +101,12 @@ def latex_canonical(spark, d):
     return c.agg(F.count("*").alias("records"), F.count_distinct("x").alias("raw"), F.count_distinct("c").alias("canonical"), F.sum((F.col("c") == F.col("cc")).cast("bigint")).alias("idempotent"))
 
 
+def source_places(spark, d):
+    """Lines of 40 cells with the places of their first and last cell in the pair's cells."""
+    p = table(spark, d, "nikl_pairs").where("tgt is not null").select("id", F.posexplode(E.wrapped_places("tgt", F.lit(40))).alias("line", "w"))
+    return p.groupBy("line").agg(F.count("*").alias("lines"), F.sum(F.element_at("w.places", 1)).alias("first"), F.sum(F.element_at("w.places", -1)).alias("last"))
+
+
 def wrapped_pages(spark, d):
     """Cells of the pairs wrapped to 40 per line and 25 lines a page."""
     p = table(spark, d, "nikl_pairs").where("tgt is not null").select("doc", F.size(E.wrapped_lines("tgt", F.lit(40))).alias("n"))
@@ -162,7 +168,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         near_dup_shingles, retrieval_top3, alias_rate, shared_texts, span_containment, cosine_top5, braille_ascii, dot_flip_audit, dot_histogram, prompt_roundtrip, splice_insert,
-        latex_canonical, wrapped_pages, byte_lengths, byte_codec, normal_forms, identical_twins, audit_report,
+        latex_canonical, source_places, wrapped_pages, byte_lengths, byte_codec, normal_forms, identical_twins, audit_report,
     )
 }
 
@@ -178,14 +184,14 @@ ORACLES = {
             UNION ALL SELECT a.id, 3 FROM a JOIN b USING (h) JOIN nb ON nb.id = b.id GROUP BY a.id, b.id, nb.n HAVING count(*) >= 0.8::DOUBLE * nb.n)
         SELECT CASE o WHEN 1 THEN 'loose_exact' WHEN 2 THEN 'covered' ELSE 'contains' END AS reason, count(*) AS records FROM (SELECT id, min(o) AS o FROM x GROUP BY id) GROUP BY 1""",
     "retrieval_top3": """
-        WITH p AS (SELECT id, split, substr(src, 1, 60) AS t FROM nikl_pairs WHERE src IS NOT NULL),
+        WITH p AS (SELECT id, split, src AS t FROM nikl_pairs WHERE src IS NOT NULL),
         g AS (SELECT DISTINCT id, split, unnest(list_transform(range(1, length(t) - 2), lambda i: substr(t, i, 4))) AS g FROM p WHERE length(t) >= 4)
         SELECT a.id AS query, b.id AS item, count(*) AS shared, row_number() OVER (PARTITION BY a.id ORDER BY count(*) DESC, b.id) AS rank FROM g a JOIN g b USING (g) WHERE a.split = 'test' AND b.split = 'dev' GROUP BY 1, 2 QUALIFY rank <= 3""",
     "alias_rate": f"""
         WITH e AS (SELECT split_part(table_id, '-', 1) AS lang, table_id, text, min(braille) AS b FROM ({_SEGS}) WHERE braille IS NOT NULL GROUP BY 1, 2, 3)
         SELECT a.lang, a.table_id AS a, c.table_id AS b, count(*) AS both, sum((a.b = c.b)::INT)::BIGINT AS same, round(sum((a.b = c.b)::INT) / count(*), 9) AS rate FROM e a JOIN e c ON a.lang = c.lang AND a.text = c.text AND a.table_id < c.table_id GROUP BY 1, 2, 3""",
     "shared_texts": f"""
-        WITH s AS (SELECT DISTINCT table_id, text, substr(braille, 1, 200) AS b FROM ({_SEGS}) WHERE braille IS NOT NULL)
+        WITH s AS (SELECT DISTINCT table_id, text, braille AS b FROM ({_SEGS}) WHERE braille IS NOT NULL)
         SELECT a.table_id, count(*) AS pairs, sum((a.b = c.b)::INT)::BIGINT AS identical, count(DISTINCT c.table_id) AS others FROM s a JOIN s c ON a.text = c.text AND a.table_id <> c.table_id GROUP BY 1""",
     "span_containment": f"""
         WITH p AS (SELECT id, unnest(range(0, length(text), 10)) AS pos FROM ({_LATEST}) WHERE split = 'train')

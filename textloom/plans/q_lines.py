@@ -11,10 +11,16 @@ from textloom.session import table
 # SQL pieces shared by the counterparts.
 _STRIP = r"regexp_replace({x}, '^[ \t]+|[ \t]+$', '', 'g')"
 _SQZ = r"trim(regexp_replace({x}, '[ \t\r\n]+', ' ', 'g'), ' ')"
-_LOOSE = r"regexp_replace(lower({x}), '[\p{{P}}\p{{S}}\p{{Z}}\p{{Cc}}\p{{Cf}}]+', '', 'g')"
-_KEY = "('0x' || substr(sha1({x}), 1, 15))::BIGINT"
+# DuckDB has no NFKC and no case folding: what the tables hold of them is written out (full-width letters and digits,
+# ordinal letters, sharp s, final sigma, Thai sara am); tests compare the rest with the definition.
+_WIDE = "".join(chr(i) for a, z in ((0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)) for i in range(a, z + 1))
+_LOOSE = (
+    f"regexp_replace(nfc_normalize(replace(replace(translate(lower({{x}}), '{_WIDE}ªºς', '{''.join(chr(ord(c) - 0xFEE0) for c in _WIDE).lower()}aoσ'), 'ß', 'ss'), chr(3635), chr(3661) || chr(3634))), "
+    + r"'[\p{{P}}\p{{S}}\p{{Z}}\p{{Cc}}\p{{Cf}}]+', '', 'g')"
+)
+_KEY = "(('0x' || substr(sha1({x}), 1, 16))::UBIGINT::HUGEINT - CASE WHEN substr(sha1({x}), 1, 1) >= '8' THEN 18446744073709551616::HUGEINT ELSE 0 END)::BIGINT"
 _U = "(('0x' || substr(sha1({x}), 1, 13))::BIGINT)::DOUBLE / pow(2, 52)"
-_LINES = "SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL"
+_LINES = "SELECT doc_id, source, lang, unnest(string_split(nfc_normalize(text), chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL"
 _CLEAN = f"SELECT * REPLACE ({_STRIP.format(x='line')} AS line) FROM ({_LINES}) WHERE length({_STRIP.format(x='line')}) BETWEEN 20 AND 600"
 
 
@@ -36,11 +42,11 @@ def _units(lines_sql: str, key: str) -> str:
 
 def _doc_lines(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return docs.select("doc_id", "source", "lang", F.posexplode(F.split(T.nfc("text"), "\n")).alias("pos", "line"))
 
 
 def _test_lines(spark, d):
-    return table(spark, d, "nikl_pairs").where("split = 'test' and src is not null").select(F.col("id").alias("doc_id"), F.explode(F.split("src", "\n")).alias("line"))
+    return table(spark, d, "nikl_pairs").where("split = 'test' and src is not null").select(F.col("id").alias("doc_id"), F.explode(F.split(T.nfc("src"), "\n")).alias("line"))
 
 
 def line_clean(spark, d):
@@ -65,7 +71,7 @@ def sourced_langs(spark, d):
 def contamination_units(spark, d):
     """Documents that share a line or sub-sentence with the held-out sentences, by language and source."""
     docs = table(spark, d, "documents")
-    hits = L.units_in(L.text_units(_doc_lines(spark, d)), L.text_units(_test_lines(spark, d)))
+    hits = L.units_in(L.text_units(_doc_lines(spark, d), distinct=False), L.text_units(_test_lines(spark, d)))
     joined = docs.select("doc_id", "lang", "source").join(hits, "doc_id", "left")
     return joined.groupBy("lang", "source").agg(F.count("*").alias("documents"), F.count("hits").alias("leaking"), F.sum(F.coalesce("hits", F.lit(0))).alias("units"))
 
@@ -174,7 +180,7 @@ def registry_symdiff(spark, d):
 
 def set_digest(spark, d):
     """Order-independent digest of the line keys of each source: sums of key parts over distinct keys."""
-    keys = L.clean_lines(_doc_lines(spark, d)).select("source", T.key60("line").alias("h")).distinct()
+    keys = L.clean_lines(_doc_lines(spark, d)).select("source", T.key64("line").alias("h")).distinct()
     return keys.groupBy("source").agg(
         F.count("*").alias("n"), F.sum(F.col("h") % 1000000007).alias("sum_a"), F.sum(F.col("h") % 998244353).alias("sum_b"), F.min("h").alias("least"), F.max("h").alias("most")
     )
@@ -182,8 +188,8 @@ def set_digest(spark, d):
 
 def registry_set_ops(spark, d):
     """Distinct loose keys of train lines and of held-out sentences: union, intersection, differences."""
-    a = L.clean_lines(_doc_lines(spark, d)).select(T.key60(T.loose("line")).alias("h")).distinct()
-    b = _test_lines(spark, d).select(T.key60(T.loose("line")).alias("h")).distinct()
+    a = L.clean_lines(_doc_lines(spark, d)).select(T.key64(T.loose("line")).alias("h")).distinct()
+    b = _test_lines(spark, d).select(T.key64(T.loose("line")).alias("h")).distinct()
     ops = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "first_only": a.exceptAll(b), "second_only": b.subtract(a)}
     out = None
     for name, rows in ops.items():
@@ -209,7 +215,7 @@ QUERIES = {
     )
 }
 
-_TEST_LINES = "SELECT id AS doc_id, unnest(string_split(src, chr(10))) AS line FROM nikl_pairs WHERE split = 'test' AND src IS NOT NULL"
+_TEST_LINES = "SELECT id AS doc_id, unnest(string_split(nfc_normalize(src), chr(10))) AS line FROM nikl_pairs WHERE split = 'test' AND src IS NOT NULL"
 ORACLES = {
     "line_clean": f"SELECT source, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM ({_CLEAN}) GROUP BY source",
     "line_dedup_first_wins": f"SELECT sha1(line) AS h, doc_id, pos::BIGINT AS pos FROM ({_CLEAN}) QUALIFY row_number() OVER (PARTITION BY sha1(line) ORDER BY doc_id, pos) = 1",

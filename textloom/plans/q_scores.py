@@ -34,49 +34,25 @@ def _scored(spark, d):
     return cands.withColumn("d", F.levenshtein("ref", hyp)).withColumn("cer", T.error_rate(F.col("ref"), hyp))
 
 
-_ONE_POOL = "SELECT * FROM cand_pools WHERE id IN (SELECT id FROM cand_pools GROUP BY id HAVING count(DISTINCT to_json(cands)::VARCHAR) = 1) QUALIFY row_number() OVER (PARTITION BY id) = 1"
-_ASC = "regexp_replace({x}, '[^ -~]', '', 'g')"
-_SCORED = f"""
-    SELECT p.id, idx, lp, c_text AS text, levenshtein(ref, {_ASC.format(x='c_text')}) AS d, levenshtein(ref, {_ASC.format(x='c_text')}) / greatest(length(ref), 1) AS cer
-    FROM (SELECT id, generate_subscripts(cands, 1) - 1 AS idx, unnest(list_transform(cands, lambda c: c.lp)) AS lp, unnest(list_transform(cands, lambda c: c.text)) AS c_text FROM ({_ONE_POOL})) p
-    JOIN (SELECT id, {_ASC.format(x='text')} AS ref FROM ({_LATEST})) r USING (id)"""
-
-
-def _single(spark, d):
-    """Pools that were delivered in one form only."""
-    pools = table(spark, d, "cand_pools").withColumn("js", F.to_json("cands"))
-    once = pools.groupBy("id").agg(F.count_distinct("js").alias("forms"), F.min_by("cands", "js").alias("cands")).where("forms = 1").drop("forms")
-    refs = _records(spark, d).select("id", F.col("text").alias("ref"))
-    hyp = F.col("text")
-    return S.candidates_long(once).join(refs, "id").withColumn("d", F.levenshtein("ref", hyp)).withColumn("cer", T.error_rate(F.col("ref"), hyp))
+# The pool of an id that was delivered in several forms is the one that comes first as JSON.
+_ONE_POOL = "SELECT id, arg_min(cands, to_json(cands)::VARCHAR) AS cands FROM cand_pools GROUP BY id"
+_CANDS = f"SELECT id, generate_subscripts(cands, 1) - 1 AS idx, unnest(list_transform(cands, lambda c: c.lp)) AS lp, unnest(list_transform(cands, lambda c: c.text)) AS text FROM ({_ONE_POOL})"
 
 
-_POLICIES = ("greedy", "oracle", "likely", "verified", "closest")
-_POLICY_ORDER = {
-    "greedy": "idx",
-    "oracle": "round(cer, 9), idx",
-    "likely": "-coalesce(lp, -1e9), idx",
-    "verified": "(d <> 0)::INT, CASE WHEN d = 0 THEN -coalesce(lp, -1e9) ELSE -(coalesce(lp, -1e9) - 2 * d) END, idx",
-    "closest": "(d <> 0)::INT, d, -coalesce(lp, -1e9), idx",
-}
+def policy_select(spark, d):
+    """The candidate that each policy takes."""
+    return S.choose(_scored(spark, d), *S.POLICIES).select("id", "policy", F.col("idx").cast("bigint").alias("idx"))
 
 
-def policy_select(spark, d):
-    cands = _single(spark, d)
-    out = None
-    for p in _POLICIES:
-        part = S.choose(cands, p).select("id", F.lit(p).alias("policy"), F.col("idx").cast("bigint").alias("idx"))
-        out = part if out is None else out.unionAll(part)
-    return out
+def policy_likely(spark, d):
+    """The policies that need no reference."""
+    cands = S.candidates_long(_pools(spark, d)).withColumns({"d": F.lit(None).cast("int"), "cer": F.lit(None).cast("double")})
+    return S.choose(cands, "greedy", "likely").select("id", "policy", F.col("idx").cast("bigint").alias("idx"))
 
 
 def policy_rates(spark, d):
-    cands = _single(spark, d)
-    out = None
-    for p in _POLICIES:
-        part = S.choose(cands, p).agg(F.count("*").alias("pools"), F.round(F.avg("cer"), 6).alias("cer"), F.sum((F.col("d") == 0).cast("bigint")).alias("exact")).select(F.lit(p).alias("policy"), "*")
-        out = part if out is None else out.unionAll(part)
-    return out
+    chosen = S.choose(_scored(spark, d), *S.POLICIES)
+    return chosen.groupBy("policy").agg(F.count("*").alias("pools"), F.round(F.avg("cer"), 6).alias("cer"), F.sum((F.col("d") == 0).cast("bigint")).alias("exact"))
 
 
 def pool_checks(spark, d):
@@ -95,7 +71,7 @@ def repeated_pools(spark, d):
 
 def reward_rule(spark, d):
     """Reward per first candidate: error part, exactness, and a penalty for empty or runaway text."""
-    c = _single(spark, d).where("idx = 0")
+    c = _scored(spark, d).where("idx = 0")
     n = F.length("text")
     runaway = n > 3 * F.length("ref") + 64
     r = F.when((F.coalesce(n, F.lit(0)) == 0), F.lit(-0.5)).otherwise(F.greatest(F.lit(0.0), 1 - F.col("cer")) + F.when((F.col("d") == 0) & ~runaway, 0.75).otherwise(0.0))
@@ -104,7 +80,7 @@ def reward_rule(spark, d):
 
 def best_alpha(spark, d):
     """The length weight with the least mean error, the smallest on ties."""
-    cands = _single(spark, d).withColumn("lp", F.coalesce("lp", F.lit(-1e9)))
+    cands = _scored(spark, d).withColumn("lp", F.coalesce("lp", F.lit(-1e9)))
     grid = cands.select("*", F.explode(F.array(*[F.lit(a) for a in (0.0, 0.01, 0.02, 0.05, 0.1)])).alias("alpha"))
     score = F.round(F.col("lp") + F.col("alpha") * F.length("text"), 9)
     picked = grid.groupBy("alpha", "id").agg(F.min_by("cer", F.struct(-score, "idx")).alias("cer"))
@@ -225,34 +201,80 @@ def cell_error_rates(spark, d):
 
 def expected_digit(spark, d):
     """Expected value of a rating whose log probabilities are those of the first five candidates."""
-    c = _single(spark, d).where("idx < 5 and lp is not null")
+    c = S.candidates_long(_pools(spark, d)).where("idx < 5 and lp is not null")
     return c.groupBy("id").agg(F.round(F.sum((F.col("idx") + 1) * F.exp("lp")) / F.sum(F.exp("lp")), 6).alias("rating"))
 
 
+def segment_error_rates(spark, d):
+    """Cell errors per code: the first candidate of each record against its segments."""
+    seg = F.coalesce(
+        F.transform("segments", lambda s: F.struct(s["table_id"].alias("table_id"), s["text"].alias("text"), s["braille"].alias("braille"))),
+        F.array(F.struct(F.get("tables", F.lit(0)).alias("table_id"), F.col("text").alias("text"), F.col("braille").alias("braille"))),
+    )
+    r = _records(spark, d).select("id", seg.alias("segs"))
+    c = S.candidates_long(_pools(spark, d)).where("idx = 0 and text is not null").select("id", "text").join(r, "id")
+    hyp = F.transform(F.split("text", "\n"), lambda line, i: F.struct(F.get("segs", F.least(i, F.size("segs") - 1))["table_id"].alias("table_id"), line.alias("text")))
+    e = c.select(F.explode(F.arrays_zip("segs", E.segment_cell_edits("segs", hyp).alias("e"))).alias("x"))
+    return e.groupBy(F.col("x.segs.table_id").alias("table_id")).agg(F.sum("x.e.err").alias("err"), F.sum("x.e.cells").alias("cells"))
+
+
+def _paired(spark, d):
+    """(table_id, unit, edits and lengths under both decodings) of rows scored both ways by one model and condition."""
+    s = _scores(spark, d).where("edit is not null")
+    side = lambda decoding, a, b: s.where(F.col("decoding") == decoding).select("rec_id", "table_id", "model", "cond", F.col("edit").alias(a), F.col("n_ref").alias(b))
+    a, b = side("greedy", "ea", "na"), side("vbon20", "eb", "nb").withColumnRenamed("cond", "_c")
+    return a.join(b, ["rec_id", "table_id", "model"]).where(F.col("cond").eqNullSafe(F.col("_c"))).drop("_c")
+
+
+def paired_difference(spark, d):
+    """Points: micro error rate of verified best-of-20 less that of greedy decoding on the rows scored both ways, per model."""
+    return _paired(spark, d).groupBy("model").agg(F.count("*").alias("units"), F.round(S.micro("eb", "nb") - S.micro("ea", "na"), 9).alias("difference"))
+
+
+def paired_bootstrap(spark, d):
+    """The same difference with its interval over resamples of the records."""
+    out = S.paired_bootstrap(_paired(spark, d), ["model"], ("ea", "na"), ("eb", "nb"), "rec_id")
+    return out.select("model", "units", *[F.round(c, 6).alias(c) for c in ("difference", "low", "high", "not_below")])
+
+
+def _first(spark, d):
+    refs = _records(spark, d).select("id", "form", F.col("text").alias("ref"))
+    return S.candidates_long(_pools(spark, d)).where("idx = 0").join(refs, "id")
+
+
+def bleu_tokenizers(spark, d):
+    """Corpus BLEU of the first candidates under each tokenizer."""
+    out = None
+    for how in ("none", "13a", "zh"):
+        part = S.bleu(_first(spark, d).where("text is not null"), "ref", "text", how).select(F.lit(how).alias("tokenizer"), "*")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def chrf_corpus(spark, d):
+    """Corpus F-score of characters alone, and with words of orders 1 and 2."""
+    pairs = _first(spark, d).where("text is not null")
+    return S.chrf(pairs, "ref", "text", 0).select(F.lit(0).alias("word_order"), "*").unionAll(S.chrf(pairs, "ref", "text", 2).select(F.lit(2).alias("word_order"), "*"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        policy_select, policy_rates, pool_checks, repeated_pools, reward_rule, best_alpha, micro_macro_summary, order_statistics, grouped_rates, long_metrics, metric_pivot, score_histogram,
+        policy_select, policy_likely, policy_rates, segment_error_rates, paired_difference, paired_bootstrap, bleu_tokenizers, chrf_corpus, pool_checks, repeated_pools, reward_rule, best_alpha, micro_macro_summary, order_statistics, grouped_rates, long_metrics, metric_pivot, score_histogram,
         score_gap, code_verdicts, top_codes, score_slope, score_corrections, late_scores, bootstrap_ci, corpus_bleu, chrf_mean, edit_categories, word_error_rates, cell_error_rates, expected_digit,
     )
 }
 
 
-def _picked(p: str) -> str:
-    return f"SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_POLICY_ORDER[p]}) = 1"
-
-
 ORACLES = {
-    "policy_select": f"WITH s AS ({_SCORED}) " + " UNION ALL ".join(f"SELECT id, '{p}' AS policy, idx::BIGINT AS idx FROM ({_picked(p)})" for p in _POLICIES),
-    "policy_rates": f"WITH s AS ({_SCORED}) " + " UNION ALL ".join(f"SELECT '{p}' AS policy, count(*) AS pools, round(avg(cer), 6) AS cer, sum((d = 0)::INT)::BIGINT AS exact FROM ({_picked(p)})" for p in _POLICIES),
+    "policy_likely": f"""
+        WITH c AS ({_CANDS}) SELECT id, 'greedy' AS policy, 0::BIGINT AS idx FROM c GROUP BY id
+        UNION ALL SELECT id, 'likely', idx::BIGINT FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY -coalesce(lp, -1e9), idx) = 1""",
+    "paired_difference": f"""
+        WITH s AS (SELECT * FROM ({_SCORES}) WHERE edit IS NOT NULL)
+        SELECT a.model, count(*) AS units, round(sum(b.edit) / sum(b.n_ref) - sum(a.edit) / sum(a.n_ref), 9) AS difference
+        FROM s a JOIN s b ON a.rec_id = b.rec_id AND a.table_id = b.table_id AND a.model = b.model AND a.cond IS NOT DISTINCT FROM b.cond AND a.decoding = 'greedy' AND b.decoding = 'vbon20' GROUP BY a.model""",
     "repeated_pools": "SELECT id, count(*) AS deliveries, count(DISTINCT to_json(cands)::VARCHAR) AS forms FROM cand_pools GROUP BY id HAVING count(*) > 1",
-    "reward_rule": f"""
-        SELECT s.id, round(CASE WHEN coalesce(length(s.text), 0) = 0 THEN -0.5 ELSE greatest(0.0, 1 - cer) + CASE WHEN d = 0 AND NOT length(s.text) > 3 * length(ref) + 64 THEN 0.75 ELSE 0.0 END END, 6)::DOUBLE AS reward
-        FROM ({_SCORED}) s JOIN (SELECT id, {_ASC.format(x='text')} AS ref FROM ({_LATEST})) r USING (id) WHERE idx = 0""",
-    "best_alpha": f"""
-        WITH s AS ({_SCORED}), g AS (SELECT *, coalesce(lp, -1e9) + alpha * length(text) AS score FROM s, (VALUES (0.0::DOUBLE), (0.01::DOUBLE), (0.02::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE)) a(alpha)),
-        p AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY alpha, id ORDER BY round(score, 9) DESC NULLS LAST, idx) = 1)
-        SELECT alpha, round(avg(cer), 6) AS cer FROM p GROUP BY alpha ORDER BY cer, alpha LIMIT 1""",
     "micro_macro_summary": f"""
         SELECT model, decoding, count(*) AS n, round(sum(edit) / sum(n_ref), 9) AS micro_cer, round(avg(cer), 12) AS macro_cer, sum((edit = 0)::INT)::BIGINT AS exact, sum(fallback::INT)::BIGINT AS fallbacks,
             sum((cer > 2)::INT)::BIGINT AS runaway FROM ({_SCORES}) WHERE cer IS NOT NULL GROUP BY 1, 2""",
@@ -284,5 +306,5 @@ ORACLES = {
         WITH s AS (SELECT model, count(*) AS n, count(DISTINCT edit) AS v FROM score_rows GROUP BY rec_id, table_id, model, cond, decoding)
         SELECT model, count(*) AS again, sum((v > 1)::INT)::BIGINT AS corrected FROM s WHERE n > 1 GROUP BY model""",
     "late_scores": "SELECT least(floor((epoch_us(loaded_at) - epoch_us(scored_at)) / 3600000000), 48)::BIGINT AS hours_late, count(*) AS n FROM score_rows GROUP BY 1",
-    "expected_digit": f"SELECT id, round(sum((idx + 1) * exp(lp)) / sum(exp(lp)), 6) AS rating FROM ({_SCORED}) WHERE idx < 5 AND lp IS NOT NULL GROUP BY id",
+    "expected_digit": f"SELECT id, round(sum((idx + 1) * exp(lp)) / sum(exp(lp)), 6) AS rating FROM ({_CANDS}) WHERE idx < 5 AND lp IS NOT NULL GROUP BY id",
 }

@@ -38,7 +38,7 @@ RECORD = t.StructType(
 
 def read_lines(spark: SparkSession, path: str, least: int = 20, most: int = 600) -> DataFrame:
     """(file, line): stripped lines of acceptable length of text files, plain or compressed."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), T.stripped("value").alias("line"))
+    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), T.stripped(T.nfc("value")).alias("line"))
     return rows.where(F.length("line").between(least, most))
 
 

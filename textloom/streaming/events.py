@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from textloom.session import shared_dir
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream; their zone-less times are taken as UTC."""
@@ -32,10 +34,20 @@ def first_seen(lines: DataFrame, key: str, ts: str, late: str = "1 day") -> Data
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all there is and give its result as a table in memory."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over all there is; its result is a table in the shared folder.
+
+    Each batch is written by the executors: in complete mode it replaces what was
+    there, in append mode it is added (a repeated batch replaces its own part).
+    """
+    spark = stream.sparkSession
+    where = f"{shared_dir(spark).rstrip('/')}/textloom-stream-{name}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/rows" if mode == "complete" else f"{where}/rows/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).option("basePath", f"{where}/rows").parquet(f"{where}/rows")
