@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.forms import bare, squeezed
 from textloom.llm import crosssplit as X, leakage as L, neardup as D
-from textloom.llm.keyfilter import LEAST_BITS, KeyFilter
+from textloom.operators.keyfilter import LEAST_BITS, KeyFilter
 
 RNG = random.Random(11)
 WORDS = [w * 2 for w in "al bo cy de ek fu go ha il jo ku la mi ne op 가나 다라 마바 사아".split()]
