@@ -42,12 +42,6 @@ def registry_difference(spark, d):
     return A.registry_difference(lines.where("doc_id % 2 = 0"), lines.where("doc_id % 2 = 1"))
 
 
-def wrong_joiners(spark, d):
-    texts = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), "text")
-    lines = _doc_lines(spark, d).select("line")
-    return A.wrong_joiners(texts, lines).groupBy("id").agg(F.count("*").alias("joiners"))
-
-
 def dataset_verdict(spark, d):
     r, inv = _records(spark, d), table(spark, d, "inventory")
     keys = r.select("id", R.joint_key(F.col("tables"), F.col("text")).alias("key"))
@@ -83,7 +77,7 @@ def redelivered_texts(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        unknown_codes, shared_train_eval_units, shared_train_dev_units, one_code_per_text, missed_targets, registry_difference, wrong_joiners, dataset_verdict, pair_checks, article_shards,
+        unknown_codes, shared_train_eval_units, shared_train_dev_units, one_code_per_text, missed_targets, registry_difference, dataset_verdict, pair_checks, article_shards,
         capped_lines, redelivered_texts,
     )
 }
