@@ -121,3 +121,20 @@ def real_row_checks(rows: DataFrame, group: str) -> DataFrame:
         count(F.col("braille").isNull()).alias("no_cells"),
         F.count_distinct("text").alias("texts"),
     )
+
+
+def gates_met(report: DataFrame, gates: dict[str, tuple[str, float]]) -> DataFrame:
+    """(name, value, passed): named figures of a report against their gates (=, <, <=, >, >=); one that is missing or null fails."""
+    spark = report.sparkSession
+    wanted = spark.createDataFrame([(n, op, float(v)) for n, (op, v) in gates.items()], "name string, op string, bound double")
+    met = wanted.join(report.select("name", F.col("value").cast("double").alias("value")), "name", "left")
+    v, b = F.col("value"), F.col("bound")
+    ok = F.when(F.col("op") == "=", v == b).when(F.col("op") == "<", v < b).when(F.col("op") == "<=", v <= b).when(F.col("op") == ">", v > b).otherwise(v >= b)
+    return met.select("name", "value", F.coalesce(ok, F.lit(False)).alias("passed"))
+
+
+def flag_errors(rows: DataFrame, flag: str, provider: str = "builtin") -> DataFrame:
+    """(rows whose stored flag of agreement with the provider's cells is wrong); rows that it refuses agree with nothing."""
+    from textloom.operators.builder import feasible
+
+    return feasible(rows, provider).where(F.col(flag).isNull() | (F.col(flag) != F.col("feasible"))).select(*[c for c in rows.columns if c != "braille"], "feasible")

@@ -23,8 +23,8 @@ NOISE_LEVELS = (0.005, 0.01, 0.02)
 
 def taken(rows: DataFrame, cell: list[str], quota: DataFrame, seed: str, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows, report): in each cell the first ``quota`` rows by hash; the report has quota, got and short of every cell."""
-    ranked = hash_rank(rows, cell, seed, key, "_at").join(quota, cell)
-    kept = ranked.where(F.col("_at") <= F.col("quota")).drop("_at", "quota")
+    ranked = hash_rank(rows, cell, seed, key, "_nth").join(quota, cell)
+    kept = ranked.where(F.col("_nth") <= F.col("quota")).drop("_nth", "quota")
     got = kept.groupBy(*cell).agg(F.count("*").alias("got"))
     report = quota.join(got, cell, "left").withColumn("got", F.coalesce("got", F.lit(0))).withColumn("short", F.col("quota") - F.col("got"))
     return kept, report
@@ -49,16 +49,13 @@ def with_density(texts: DataFrame, span: str, seed: str, key: str = "id", text:
     heavy.  Another gets one span (light) or three (heavy), by hash, each before a
     word of its own; a text of one word stays.
     """
-    natural = T.latin_runs(text)
-    heavy = T.uniform(seed, key) < 0.5
-    out = F.col(text)
-    once = N.spliced(out, F.lit(span), T.uniform(seed + ":0", key))
-    thrice = once
-    for n in (1, 2):
-        thrice = N.spliced(thrice, F.lit(span), T.uniform(f"{seed}:{n}", key))
-    return texts.withColumn("natural", natural > 0).withColumn("switch_density", F.when(natural > 2, "heavy").when(natural > 0, "light").when(heavy, "heavy").otherwise("light")).withColumn(
-        text, F.when(F.col("natural"), out).when(F.col("switch_density") == "heavy", thrice).otherwise(once)
-    )
+    runs = T.latin_runs(text)
+    density = F.when(F.col("_runs") > 2, "heavy").when(F.col("_runs") > 0, "light").when(T.uniform(seed, key) < 0.5, "heavy").otherwise("light")
+    out = texts.withColumn("_runs", runs).withColumn("switch_density", density).withColumn("natural", F.col("_runs") > 0).drop("_runs")
+    for n in range(3):  # a column each, so that no expression is worked out again and again
+        more = ~F.col("natural") & (F.lit(n == 0) | (F.col("switch_density") == "heavy"))
+        out = out.withColumn(text, F.when(more, N.spliced(text, F.lit(span), T.uniform(f"{seed}:{n}", key))).otherwise(F.col(text)))
+    return out
 
 
 _HOSTS = ["docs.example.org", "code.example.com", "papers.example.net", "data.example.edu", "wiki.example.io"]
@@ -153,7 +150,7 @@ def noise_variants(base: DataFrame, seed: str, levels: tuple[float, ...] = NOISE
         mask = mask + F.when((F.col("noise_n_dots") > dot) & (T.uniform(seed, "_k", "pos", F.lit(dot)) < F.col("noise_p")), F.lit(1 << dot)).otherwise(0)
     # The forced flip: one cell by the least hash, one of its dots.
     drawn = cells.withColumn("mask", F.when(is_cell, mask).otherwise(0)).withColumn("h", F.when(is_cell, F.xxhash64(F.lit(seed), "_k", "pos")))
-    forced = F.shiftleft(F.lit(1), F.floor(T.uniform(seed + ":dot", "_k") * F.col("noise_n_dots")).cast("int"))
+    forced = F.element_at(F.array(*[F.lit(1 << n) for n in range(8)]), F.floor(T.uniform(seed + ":dot", "_k") * F.col("noise_n_dots")).cast("int") + 1)
     part = drawn.groupBy("_k", "id", "text", "noise_p", "noise_n_dots").agg(
         F.array_sort(F.collect_list(F.struct("pos", "ch", "mask"))).alias("c"), F.sum(F.bit_count("mask")).alias("n"), F.min_by("pos", "h").alias("at"), F.first(forced).alias("one")
     )
@@ -163,8 +160,9 @@ def noise_variants(base: DataFrame, seed: str, levels: tuple[float, ...] = NOISE
 
 
 def _cell(code: Column) -> Column:
-    """The braille cell of a code point between 0x2800 and 0x28FF."""
-    return F.element_at(F.array(*[F.lit(chr(0x2800 + i)) for i in range(256)]), code - 0x2800 + 1)
+    """The braille cell of a code point between 0x2800 and 0x28FF, by its three bytes."""
+    dots = code - 0x2800
+    return F.decode(F.unhex(F.concat(F.lit("E2"), F.hex(F.shiftright(dots, 6) + 0xA0), F.hex(dots.bitwiseAND(63) + 0x80))), "UTF-8")
 
 
 def pointers(pairs: DataFrame) -> DataFrame:

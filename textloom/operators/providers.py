@@ -99,8 +99,9 @@ class Rules:
             if not words:
                 continue
             op, *rest = words
-            if op == "include" and include and rest[0] not in within:
-                self._add(include(rest[0]), include, (*within, rest[0]))
+            if op == "include" and include:
+                if rest[0] not in within:
+                    self._add(include(rest[0]), include, (*within, rest[0]))
             elif op in ("letter", "punctuation", "sign", "space"):
                 self.chars[" " if rest[0] == "\\s" else rest[0]] = "".join(map(cell, rest[1].split("-")))
             elif op == "digit":
@@ -305,3 +306,19 @@ def homophones(pairs: DataFrame, name: str) -> DataFrame:
     one, two = (cells.select("table_id", F.col("c").alias(x), F.col("cells").alias(f"_{x}")) for x in ("a", "b"))
     joined = pairs.join(one, ["table_id", "a"], "left").join(two, ["table_id", "b"], "left")
     return joined.withColumn("homophone", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).drop("_a", "_b")
+
+
+def bisected(run: Callable[[list], list], items: list) -> list:
+    """Results of an engine that takes whole batches: one whose results don't match its items in number is halved until each item that spoils it stands alone (null)."""
+    if not items:
+        return []
+    try:
+        got = list(run(items))
+    except Exception:  # noqa: BLE001
+        got = []
+    if len(got) == len(items):
+        return got
+    if len(items) == 1:
+        return [None]
+    half = len(items) // 2
+    return bisected(run, items[:half]) + bisected(run, items[half:])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from textloom.plans import q_audit, q_build, q_joins, q_lines, q_more, q_records, q_scores, q_tables
+from textloom.plans import q_audit, q_build, q_joins, q_lines, q_more, q_records, q_scores, q_sets, q_tables
 from textloom.session import shipping
 
-_MODULES = [q_lines, q_records, q_scores, q_joins, q_tables, q_build, q_audit, q_more]
+_MODULES = [q_lines, q_records, q_scores, q_joins, q_tables, q_build, q_audit, q_more, q_sets]
 
 
 def queries() -> dict:

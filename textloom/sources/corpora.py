@@ -76,7 +76,7 @@ def best_code(langs: DataFrame, codes: DataFrame, scripts: list[str]) -> DataFra
 
 def read_log(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(file, line_no, value): numbers that the pattern's first group finds in logs, in order."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\r?\n").alias("l"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\r?\n").alias("l"))
     lines = whole.select("file", F.posexplode("l").alias("line_no", "line"))
     return lines.select("file", "line_no", F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(1))).alias("v")).select("file", "line_no", F.col("v").cast("double").alias("value"))
 

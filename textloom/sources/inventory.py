@@ -34,7 +34,7 @@ def sides(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, file, n, line): numbered lines of small files (tables, configurations), each read as one row."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), "value")
     return whole.select("path", "file", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
 
 

@@ -69,7 +69,7 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def read_brf(spark: SparkSession, path: str) -> DataFrame:
     """(file, page, line_no, cells): braille page files, form feeds between pages, as cells."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     pages = whole.select("file", F.posexplode(F.split("value", "\f")).alias("page", "p"))
     lines = pages.select("file", "page", F.posexplode(F.split("p", "\r?\n")).alias("line_no", "l"))
     return lines.where(F.length("l") > 0).select("file", "page", "line_no", T.ascii_cells("l").alias("cells"))

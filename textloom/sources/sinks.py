@@ -78,3 +78,24 @@ def pages(rows: DataFrame, key: str, braille: str, width: int = 40, height: int
     paged = lines.withColumn("page", F.floor(F.col("n") / height))
     ordered = paged.groupBy(key, "page").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
     return ordered.select(key, "page", T.cells_ascii(F.array_join(F.transform("l", lambda x: x["line"]), "\r\n")).alias("brf"))
+
+
+def write_inventory(inventory: DataFrame, path: str, root: str) -> None:
+    """One JSON object per table, sorted by name, with paths relative to ``root``."""
+    relative = F.when(F.startswith("file_path", F.lit(root)), F.substring("file_path", len(root) + 1, 1 << 20)).otherwise(F.col("file_path"))
+    inventory.withColumn("file_path", relative).orderBy("table_id").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_with_summary(rows: DataFrame, path: str, gzip: bool = True) -> dict:
+    """Rows as (compressed) JSON lines, and a summary beside them: how many, and name, size and digest of each file."""
+    write_records(rows, f"{path}/data", gzip)
+    files = [r.asDict() for r in _small(file_digests(rows.sparkSession, f"{path}/data/part-*").orderBy("file"))]
+    summary = {"rows": rows.count(), "files": files}
+    rows.sparkSession.createDataFrame([(json.dumps(summary),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/summary")
+    return summary
+
+
+def cells_with_places(cells: str, width: int = 40, lines: int = 25) -> dict:
+    """The lines of a page file with the place in the source of each of their cells, and how many pages they fill."""
+    wrapped = E.wrapped_with_places(cells, list(range(len(cells))), width)
+    return {"lines": [line for line, _ in wrapped], "places": [p for _, p in wrapped], "pages": -(-len(wrapped) // lines)}
