@@ -257,11 +257,16 @@ def _eastern_names(line: str, lexicon: Lexicon):
                 name = m.group(group)
                 if len(name.replace(" ", "")) >= 3 and name not in lexicon.given:
                     yield m.span(group)
-    for p in (_JA_LABEL, _JA_HONORED):
+    if not _HAN.search(line):
+        if lexicon.eastern and _HANGUL.search(line):
+            for m in lexicon.eastern.finditer(line):
+                yield m.span()
+        return
+    for p in (_JA_LABEL, _JA_HONORED) if _JA_SIGNS.search(line) else ():
         for m in p.finditer(line):
             if len(m.group(1).replace(" ", "")) >= 4:
                 yield m.span(1)
-    for p in (_ZH_LABEL, _ZH_HONORED):
+    for p in (_ZH_LABEL, _ZH_HONORED) if _ZH_SIGNS.search(line) else ():
         for m in p.finditer(line):
             group = m.lastindex
             name = m.group(group)
@@ -282,10 +287,11 @@ def _addresses(line: str, take) -> None:
 
 
 _DIGIT = re.compile(r"\d")
-_HANGUL = re.compile("[가-힣]")
+_HANGUL, _HAN = re.compile("[가-힣]"), re.compile("[一-龥ヶ々]")
+_JA_SIGNS = re.compile("[者名前当表任出宛取]|様|さん|氏|殿")
+_ZH_SIGNS = re.compile("[员者名件人辑户对]|老师|先生|女士|小姐|教授|博士|收")
 _DIGIT5 = re.compile(r"\d[\d \-.)）]*\d")
 _WESTERN_HINT = re.compile(r"[A-ZÀ-ÞА-ЯЁ][\w.'’\-]+,? [A-ZÀ-ÞА-ЯЁDd]")
-_EASTERN_HINT = re.compile(r"[가-힣] ?(?:드림|님|씨|선생)|담당자|점역사|신청인|성명|주소로|받는|点訳者|氏名|担当|様|さん|译员|姓名|联系人|老师|收")
 
 
 def _in_line(line: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
@@ -316,7 +322,7 @@ def _in_line(line: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
     if _WESTERN_HINT.search(line):
         for a, b in _names(line, lexicon):
             take(a, b, "person")
-    if _EASTERN_HINT.search(line) or (lexicon.eastern and not line.isascii()):
+    if not line.isascii():
         for a, b in _eastern_names(line, lexicon):
             take(a, b, "person")
     return sorted(out)
