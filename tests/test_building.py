@@ -213,3 +213,15 @@ def test_reports(spark, tmp_path):
     assert summary["rows"] == 2 and summary["files"] and all(len(f["sha256"]) == 64 for f in summary["files"])
     page = K.cells_with_places("⠁⠃⠀⠉⠙⠑", 3)
     assert page == {"lines": ["⠁⠃", "⠉⠙⠑"], "places": [[0, 1], [3, 4, 5]], "pages": 1}
+
+
+def test_temporary_tables_go(spark):
+    from textloom import session as S
+
+    kept = S.cut(spark.range(3))
+    before = len(S._written)
+    with S.temporary():
+        inner = S.cut(spark.range(5))
+        path = S._written[-1][1].removeprefix("file://")
+        assert inner.count() == 5 and os.path.isdir(path)
+    assert len(S._written) == before and not os.path.isdir(path) and kept.count() == 3

@@ -199,3 +199,20 @@ def test_windows_of_clean_rows(spark):
     for d in range(6):
         seq = [f for x, _, f in flags if x == d]
         assert {k: got[d, k] for k in range(1, 6)} == {k: sum(all(seq[i : i + k]) for i in range(len(seq) - k + 1)) for k in range(1, 6)}
+
+
+def test_references(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
+    one = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, ref string")
+    two = spark.createDataFrame([("b", "z")], "id string, ref string")
+    assert {tuple(r) for r in S.with_references(rows, one, two).collect()} == {("a", 1, "x"), ("b", 2, "z")}
+    with pytest.raises(ValueError):
+        S.with_references(rows, two)
+
+
+def test_report(spark):
+    from tests.conftest import SF
+    from textloom.plans.report import SECTIONS, score_report
+
+    page = score_report(spark, SF)
+    assert page.count("## ") == len(SECTIONS) and "| model |" in page

@@ -186,6 +186,15 @@ def topped_up(lines: DataFrame, held_out: DataFrame, n: int, seed: str, key: str
     return spans.join(bad, "span", "left_anti").join(lost, "span", "left_anti").select("span", F.col("line").alias("text"))
 
 
+def slices(rows: DataFrame, order: list[str], parts: int) -> DataFrame:
+    """The rows with ``slice``: part k of m holds the places from floor(k n / m) on, in the given order."""
+    numbered = ordered_rank(rows.withColumn("_all", F.lit(0)), ["_all"], order, out="_n").drop("_all")
+    size = rows.agg(F.count("*").alias("_m"))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.floor(k * F.col("_m") / parts))
+    placed = numbered.join(size).withColumn("slice", (F.size(F.filter(starts, lambda s: s < F.col("_n"))) - 1).cast("bigint"))
+    return placed.drop("_n", "_m")
+
+
 def probed(rows: DataFrame, group: str, order: str, agrees: Column, first: int, share: float) -> DataFrame:
     """(group, probed, agreeing, kept): groups kept if enough of their first rows agree."""
     part = Window.partitionBy(group, F.pmod(F.xxhash64(order), F.lit(16))).orderBy(order)

@@ -46,6 +46,20 @@ def choose(cands: DataFrame, *policies: str, key: str = "id", weight: float = 2.
     return picked.select(key, F.explode(each).alias("x")).select(key, "x.policy", "x.r.*")
 
 
+def with_references(rows: DataFrame, *references: DataFrame, key: str = "id") -> DataFrame:
+    """The rows with the columns of their reference: of several reference tables the last that has the key counts; a row without any is an error."""
+    placed = None
+    for n, ref in enumerate(references):
+        part = ref.withColumn("_n", F.lit(n))
+        placed = part if placed is None else placed.unionByName(part)
+    rest = [c for c in references[0].columns if c != key]
+    last = placed.groupBy(key).agg(F.max_by(F.struct(*rest), "_n").alias("_r"))
+    missing = rows.join(last.select(key), key, "left_anti").limit(1).count()
+    if missing:
+        raise ValueError("a row has no reference")
+    return rows.join(last, key).select(*rows.columns, *[F.col(f"_r.{c}").alias(c) for c in rest if c not in rows.columns])
+
+
 def micro(num: str, den: str) -> Column:
     """Ratio of sums; null where the denominator is 0."""
     return F.try_divide(F.sum(num), F.sum(den))

@@ -126,6 +126,26 @@ def model_verdicts(spark, d):
     return v.groupBy("model", "verdict").agg(F.count("*").alias("records"))
 
 
+def judge_inputs(spark, d):
+    """What a judge of first candidates is asked: empty ones get the least rating without a call, others at most 6,000 characters of both texts."""
+    refs = _records(spark, d).select("id", F.col("text").alias("ref"))
+    c = S.candidates_long(table(spark, d, "cand_pools").groupBy("id").agg(F.min_by("cands", F.to_json("cands")).alias("cands"))).where("idx = 0").join(refs, "id")
+    asked = F.trim(F.coalesce("text", F.lit(""))) != ""
+    size = F.least(F.length("ref"), F.lit(6000)) + F.least(F.length("text"), F.lit(6000))
+    return c.groupBy(F.when(asked, F.lit(None).cast("int")).otherwise(1).cast("bigint").alias("rating")).agg(F.count("*").alias("pairs"), F.sum(F.when(asked, size)).alias("chars"))
+
+
+def normal_form_steps(spark, d):
+    """Micro error rate of the first candidates under growing normal forms: as they are, NFC, without zero-width spaces, loose."""
+    refs = _records(spark, d).select("id", F.col("text").alias("ref"))
+    c = S.candidates_long(table(spark, d, "cand_pools").groupBy("id").agg(F.min_by("cands", F.to_json("cands")).alias("cands"))).where("idx = 0 and text is not null").join(refs, "id")
+    plain = lambda x: F.replace(T.nfc(x), F.lit(E.ZERO_WIDTH), F.lit(""))
+    steps = {"raw": F.col, "nfc": T.nfc, "no_zero_width": plain, "loose": T.loose}
+    wide = c.select(*[f(side).alias(f"{side}_{name}") for name, f in steps.items() for side in ("ref", "text")])
+    rates = wide.agg(*[F.round(F.sum(F.levenshtein(f"ref_{n}", f"text_{n}")) / F.sum(F.length(f"ref_{n}")), 9).alias(n) for n in steps])
+    return S.long_metrics(rates.withColumn("all", F.lit("all")), ["all"], list(steps)).select(F.col("metric").alias("step"), F.col("value").alias("rate"))
+
+
 def option_spans(spark, d):
     """Spans of the first Latin run of each document, some shifted, some doubled: why they are no valid option."""
     p = table(spark, d, "documents").where("text is not null").select("doc_id", F.col("text").alias("src"), F.regexp_extract("text", "[A-Za-z]+", 0).alias("run")).where("run <> ''")
@@ -202,7 +222,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         base_languages, best_tables, strict_schema_errors, label_filters, length_caps, padded_ids, term_frequencies, clean_paragraphs, one_line_changes, math_spans, formula_texts, folded_texts,
-        prose_sentences, packed_paragraphs, unit_cuts, wrong_offsets, last_lines, model_verdicts, option_spans, routed_transcription, back_translation, homophone_edits, consistency_rates,
+        prose_sentences, packed_paragraphs, unit_cuts, wrong_offsets, last_lines, model_verdicts, judge_inputs, normal_form_steps, option_spans, routed_transcription, back_translation, homophone_edits, consistency_rates,
         inventory_identity, records_at, wrong_joiners,
     )
 }
@@ -310,6 +330,9 @@ ORACLES = {
         WITH r AS ({_ROUTES}), c AS (SELECT *, CASE WHEN reason = 'ok' THEN array_to_string({_CELLS_OF}, '') END AS cells FROM r)
         SELECT table_id, reason, count(*) AS segments, sum(length(cells))::BIGINT AS cells, sum(CASE WHEN reason = 'ok' THEN length(text) - length(tok[len(tok)]) END)::BIGINT AS last FROM c GROUP BY 1, 2""",
     "back_translation": f"WITH r AS ({_ROUTES}) SELECT table_id, count(*) AS segments, count(*) AS same FROM r WHERE reason = 'ok' GROUP BY 1",
+    "judge_inputs": f"""
+        WITH c AS (SELECT id, arg_min(cands, to_json(cands)::VARCHAR)[1].text AS text FROM cand_pools GROUP BY id), j AS (SELECT c.text AS text, r.text AS ref, trim(coalesce(c.text, ''), ' ') <> '' AS asked FROM c JOIN ({_LATEST}) r USING (id))
+        SELECT CASE WHEN asked THEN NULL ELSE 1 END::BIGINT AS rating, count(*) AS pairs, sum(least(length(ref), 6000) + least(length(text), 6000)) FILTER (asked)::BIGINT AS chars FROM j GROUP BY 1""",
     "option_spans": """
         WITH p AS (SELECT doc_id % 4 AS how, regexp_extract(text, '[A-Za-z]+') AS run FROM documents WHERE text IS NOT NULL)
         SELECT CASE WHEN how = 0 THEN 'valid' WHEN how IN (1, 2) OR length(run) = 1 THEN 'order' ELSE 'part_of_run' END AS why, count(*) AS documents FROM p WHERE run <> '' GROUP BY 1""",

@@ -118,6 +118,31 @@ def topped_up(spark, d):
     return out.agg(F.count("*").alias("spans"), F.min("span").alias("least"), F.sum(F.length("text")).alias("chars"))
 
 
+def pointer_pairs(spark, d):
+    """Records that point to a pair, met with it: which are there, which have no cells, which point to nothing."""
+    p = table(spark, d, "nikl_pairs").select(F.col("id").alias("nikl_id"), "src", "tgt")
+    r = _records(spark, d).where("nikl_id is not null").select("id", "nikl_id", "text").join(p, "nikl_id", "left")
+    why = F.when(F.col("src").isNull(), "missing").when(F.col("tgt").isNull(), "no_cells").when(F.col("src") != F.col("text"), "other_text").otherwise("same")
+    return r.groupBy(why.alias("why")).agg(F.count("*").alias("records"))
+
+
+def pair_drops(spark, d):
+    """Why pairs are no rows of an evaluation set, by genre; the first reason counts."""
+    p = table(spark, d, "nikl_pairs")
+    cells = F.translate("tgt", " ", "⠀")
+    why = (
+        F.when(F.coalesce(F.trim("src"), F.lit("")) == "", "empty").when(F.col("src").contains("\n"), "line_break").when(F.col("tgt").isNull(), "no_cells")
+        .when(~T.is_cells(cells, False), "not_cells").when(F.length("tgt") > 4 * F.length("src"), "long_cells").otherwise("kept")
+    )
+    return p.groupBy("genre", why.alias("why")).agg(F.count("*").alias("pairs"))
+
+
+def contiguous_slices(spark, d):
+    """Dev sentences in order, cut into seven slices of nearly equal size."""
+    p = table(spark, d, "nikl_pairs").where("split = 'dev'").select("id")
+    return D.slices(p, ["id"], 7).groupBy("slice").agg(F.count("*").alias("rows"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
 def probed_documents(spark, d):
     """Documents of pairs kept if four fifths of their first ten pairs have pure cells."""
     p = table(spark, d, "nikl_pairs")
@@ -133,7 +158,7 @@ def snippet_groups(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        made_numerals, made_identifiers, spliced_texts, snippet_quota, document_sample, sample_drops, formula_rows, core_per_code, zero_shot, mixed_grid, noise_variants, pointer_rows, topped_up,
+        made_numerals, made_identifiers, spliced_texts, snippet_quota, document_sample, sample_drops, formula_rows, core_per_code, zero_shot, mixed_grid, noise_variants, pointer_rows, pointer_pairs, pair_drops, contiguous_slices, topped_up,
         probed_documents, snippet_groups,
     )
 }
@@ -225,6 +250,16 @@ ORACLES = {
     "noise_variants": rf"""
         SELECT p::DOUBLE AS noise_p, count(*) AS variants, 0::BIGINT AS unchanged, 0::BIGINT AS violations FROM (SELECT * FROM ({_LATEST}) WHERE split = 'eval' AND braille IS NOT NULL AND regexp_matches(braille, '[\x{{2800}}-\x{{28FF}}]')), (VALUES (0.005), (0.01), (0.02)) v(p) GROUP BY 1""",
     "pointer_rows": "SELECT id AS nikl_id, doc, ed, genre, split FROM nikl_pairs WHERE split = 'test'",
+    "pointer_pairs": f"""
+        SELECT CASE WHEN src IS NULL THEN 'missing' WHEN tgt IS NULL THEN 'no_cells' WHEN src <> text THEN 'other_text' ELSE 'same' END AS why, count(*) AS records
+        FROM (SELECT id, nikl_id, text FROM ({_LATEST}) WHERE nikl_id IS NOT NULL) r LEFT JOIN (SELECT id AS nikl_id, src, tgt FROM nikl_pairs) p USING (nikl_id) GROUP BY 1""",
+    "pair_drops": r"""
+        SELECT genre, CASE WHEN coalesce(trim(src, ' '), '') = '' THEN 'empty' WHEN contains(src, chr(10)) THEN 'line_break' WHEN tgt IS NULL THEN 'no_cells'
+            WHEN NOT regexp_matches(replace(tgt, ' ', '⠀'), '^[\x{2800}-\x{28FF}]*$') THEN 'not_cells' WHEN length(tgt) > 4 * length(src) THEN 'long_cells' ELSE 'kept' END AS why, count(*) AS pairs FROM nikl_pairs GROUP BY 1, 2""",
+    "contiguous_slices": """
+        WITH p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n, count(*) OVER () AS m FROM nikl_pairs WHERE split = 'dev'),
+        s AS (SELECT id, (SELECT max(k) FROM range(7) r(k) WHERE floor(k * m / 7) <= n) AS slice FROM p)
+        SELECT slice, count(*) AS rows, min(id) AS first, max(id) AS last FROM s GROUP BY slice""",
     "topped_up": f"""
         WITH l AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM ({_CLEAN}) WHERE lang IS NOT NULL), sp AS (SELECT doc_id || ':' || pos AS span, line || ' ' || nxt AS line FROM l WHERE nxt IS NOT NULL),
         u AS ({_units('SELECT * FROM sp', 'span')}), t AS ({_units(_TEST_LINES, 'doc_id')}), bad AS (SELECT DISTINCT span FROM u WHERE h IN (SELECT h FROM t)),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import gc
 import os
@@ -85,6 +86,22 @@ def release() -> None:
             continue
 
 
+@contextlib.contextmanager
+def temporary():
+    """Tables that ``cut`` writes inside are deleted at the end; results must be used up or written by then.
+
+    Long sessions that run many operators should use one per result, as the
+    tables otherwise stay until the driver ends.
+    """
+    kept = _written[:]
+    del _written[:]
+    try:
+        yield
+    finally:
+        release()
+        _written.extend(kept)
+
+
 def tokenizer_dir() -> str:
     """Folder of the public tokenizer files; TEXTLOOM_TOKENIZERS overrides the default."""
     return os.environ.get("TEXTLOOM_TOKENIZERS", "/opt/tokenizers")
