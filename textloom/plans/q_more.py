@@ -339,7 +339,7 @@ ORACLES = {
     "wrong_joiners": rf"""
         WITH n AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, {_STRIP.format(x='line')} AS line FROM ({_LINES}) WHERE lower(substr(lang, 1, 2)) IN ('zh', 'ja'))
             WHERE length(line) BETWEEN 8 AND 600 AND regexp_matches(line, '^[\x{{4E00}}-\x{{9FFF}}].*[\x{{4E00}}-\x{{9FFF}}]$') GROUP BY 1)
-        SELECT sum(n - 1)::BIGINT AS texts FROM n""",
+        SELECT coalesce(sum(n - 1), 0)::BIGINT AS texts FROM n""",
     "consistency_rates": f"""
         WITH s AS (SELECT split, coalesce(CASE WHEN translate({_ENC}, '{_A64}', '') = '' THEN translate({_ENC}, '{_A64}', '{T.CELLS64}') END = s.braille, false) AS ok FROM (SELECT * FROM ({_SEGS})) s JOIN (SELECT id, split FROM ({_LATEST})) USING (id) WHERE s.braille IS NOT NULL)
         SELECT split, count(*) AS segments, sum(ok::INT)::BIGINT AS consistent, round(avg(ok::INT::DOUBLE), 9) AS rate FROM s GROUP BY split""",
