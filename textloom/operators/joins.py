@@ -61,7 +61,7 @@ def near_duplicate_reasons(train: DataFrame, test: DataFrame, key: str, text: st
     runs that are rarest in training: common runs bring no pairs.
     """
     items = cut(shingles(test, key, text, k).select(F.col("key").alias("item"), "t", F.col("n").alias("nb"), F.col("hs").alias("item_hs")))
-    known = items.select(F.explode("item_hs").alias("h")).distinct()
+    known = cut(items.select(F.explode("item_hs").alias("h")).distinct())
     bits = train.sparkSession.sparkContext.broadcast(KeyFilter.of(known, known.count()))
     rows = cut(shingles(train, key, text, k, bits))
     held = cut(rows.select("key", "n", F.explode("hs").alias("h")).join(known, "h", "left_semi"))

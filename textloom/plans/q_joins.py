@@ -9,12 +9,12 @@ from textloom.functions import edits as E, text as T
 from textloom.operators import joins as J, noise as N, records as R
 from textloom.plans.q_lines import _LOOSE, _U
 from textloom.plans.q_records import _LATEST, _SEGS, _records
-from textloom.session import table
+from textloom.session import cut, table
 
 
 def near_dup_shingles(spark, d):
     """Train records near a dev or eval record, by first reason."""
-    r = _records(spark, d).select("id", "split", "text")
+    r = cut(_records(spark, d).select("id", "split", "text"))
     return J.near_duplicate_reasons(r.where("split = 'train'"), r.where("split <> 'train'"), "id", "text").groupBy("reason").agg(F.count("*").alias("records"))
 
 
