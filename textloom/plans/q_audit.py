@@ -87,6 +87,7 @@ def _split_units(split: str) -> str:
     return _units(f"SELECT id, unnest(string_split(nfc_normalize(text), chr(10))) AS line FROM ({_LATEST}) WHERE split = '{split}' AND text IS NOT NULL", "id")
 
 
+_CC = r"length(regexp_replace(braille, '[^\x{2800}-\x{28FF}]', '', 'g'))"
 _UNKNOWN = f"""
     SELECT id, table_id, CASE WHEN i.table_id IS NULL THEN 'unknown' WHEN split IN ('train', 'dev') AND coalesce(holdout, false) THEN 'holdout' WHEN split IN ('train', 'dev') AND coalesce(weight, 0) <= 0 THEN 'weightless' END AS why
     FROM (SELECT id, split, unnest(tables) AS table_id FROM ({_LATEST})) u LEFT JOIN (SELECT table_id, holdout, weight FROM inventory) i USING (table_id)"""
@@ -103,6 +104,13 @@ ORACLES = {
     "registry_difference": f"""
         WITH k AS (SELECT source, {_KEY.format(x='line')} AS h, doc_id % 2 AS o FROM ({_CLEAN})), s AS (SELECT source, h, min(o) AS lo, max(o) AS hi FROM k GROUP BY 1, 2)
         SELECT CASE WHEN hi = 0 THEN 'stored' ELSE 'recomputed' END AS side, source, count(*) AS n FROM s WHERE lo = hi GROUP BY 1, 2""",
+    "dataset_verdict": f"""
+        WITH r AS ({_LATEST}), v AS (SELECT 'redelivered' AS name, count(*) AS n FROM (SELECT id FROM records GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'tables', count(*) FROM ({_UNKNOWN}) WHERE why IS NOT NULL
+            UNION ALL SELECT 'dedup', count(*) FROM (SELECT 1 FROM r GROUP BY array_to_string(tables, chr(31)) || chr(30) || text HAVING count(*) > 1)
+            UNION ALL SELECT 'schema', count(*) FROM r WHERE NOT regexp_matches(id, '{R.FORMS_ID}') OR braille IS NULL OR {_CC} <> cells OR len_bucket IS NULL OR source IS NULL OR n_sentences <= 0 OR len(segments) <> k
+                OR len(segments) <> len(tables) OR len(langs) <> len(tables) OR list_sort(confusable_set) <> confusable_set OR list_has_any(confusable_set, tables) OR coalesce(length(text), 0) = 0
+                OR NOT regexp_matches(braille, '^[\\x{{2800}}-\\x{{28FF}}\\n]*$') OR coalesce(len(tables), 0) = 0)
+        SELECT bool_and(n = 0) FILTER (name IN ('dedup', 'tables')) AS freezable, bool_and(n = 0) AS clean, count(*) AS checks, sum(n)::BIGINT AS violations FROM v""",
     "pair_checks": r"""
         SELECT genre, count(*) AS "rows", sum(coalesce(contains(src, chr(10)), false)::INT)::BIGINT AS line_breaks, sum((src IS NULL OR trim(src) = '')::INT)::BIGINT AS empty,
             sum(coalesce(NOT regexp_matches(replace(tgt, ' ', '⠀'), '^[\x{2800}-\x{28FF}]*$'), false)::INT)::BIGINT AS not_cells, sum((tgt IS NULL)::INT)::BIGINT AS no_cells, count(DISTINCT src) AS texts

@@ -81,9 +81,9 @@ def filled_strata(spark, d):
 
 
 def resumed(spark, d):
-    """What is left to do when every third record is done."""
+    """What is left to do when every third record, by its number, is done."""
     r = _records(spark, d).select("id", "split")
-    return readers.resume(r, r.where("crc32(id) % 3 = 0"), "id").groupBy("split").agg(F.count("*").alias("left"))
+    return readers.resume(r, r.where("cast(right(id, 7) as int) % 3 = 0"), "id").groupBy("split").agg(F.count("*").alias("left"))
 
 
 def stream_first_seen(spark, d):
@@ -126,6 +126,18 @@ ORACLES = {
     "filled_strata": f"""
         WITH r AS (SELECT id, form, row_number() OVER (PARTITION BY form ORDER BY {_U.format(x="'fill:' || id")}, id) AS k FROM ({_LATEST}) WHERE split = 'train')
         SELECT form, count(*) AS got, min(id) AS first, CASE WHEN count(*) < 60 THEN 60 - count(*) END AS short FROM r WHERE k <= 60 GROUP BY form""",
+    "resumed": f"SELECT split, count(*) AS left FROM ({_LATEST}) WHERE right(id, 7)::INT % 3 <> 0 GROUP BY split",
+    "mixed_documents": f"""
+        WITH s AS (SELECT id || ':' || pos AS id, table_id, text FROM ({_SEGS})),
+        r AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY ('0x' || substr(sha1('mix:' || id), 1, 13))::BIGINT, id) AS r FROM s),
+        g AS (SELECT *, (row_number() OVER (PARTITION BY r ORDER BY {_U.format(x="'mix:' || table_id")}, table_id) - 1) // 3 AS g FROM r)
+        SELECT concat_ws('-', 'm3', r, g) AS doc, string_agg(table_id, ',' ORDER BY table_id, text, id) AS tables, string_agg(id, ',' ORDER BY table_id, text, id) AS ids FROM g GROUP BY r, g HAVING count(*) = 3""",
+    "line_spreading": f"""
+        WITH l AS (SELECT doc_id || ':' || pos AS line, lower(substr(lang, 1, 2)) AS lang FROM ({_CLEAN}) WHERE lang IS NOT NULL),
+        i AS (SELECT DISTINCT table_id AS "table", lower(substr(base_lang, 1, 2)) AS lang FROM inventory WHERE NOT holdout AND status = 'current'),
+        p AS (SELECT line, "table" FROM l JOIN i USING (lang) QUALIFY row_number() OVER (PARTITION BY line ORDER BY -ln({_U.format(x="'spread:' || line || ':' || " + '"table"')}) / 20, "table") = 1),
+        r AS (SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY ('0x' || substr(sha1('spread2:' || line), 1, 13))::BIGINT, line) AS nth FROM p)
+        SELECT "table", count(*) AS lines, max(line) AS last FROM r WHERE nth <= 20 GROUP BY 1""",
     "stream_first_seen": "SELECT DISTINCT user_id FROM events",
     "joined_lines": f"""
         WITH l AS (SELECT doc_id, lower(substr(lang, 1, 2)) AS lang, list(line ORDER BY pos) AS p FROM ({_CLEAN}) WHERE lang IS NOT NULL GROUP BY 1, 2)

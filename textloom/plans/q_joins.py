@@ -205,6 +205,17 @@ ORACLES = {
         SELECT split, count(*) AS pairs, sum((translate(upper(a), '{T.ASCII64.replace(chr(39), chr(39) * 2)}', '{T.CELLS64}') = replace(tgt, ' ', '⠀'))::INT)::BIGINT AS same, min(a) AS least, max(a) AS most FROM p GROUP BY split""",
     "dot_histogram": """
         SELECT d::BIGINT AS dot, count(*) AS uses FROM (SELECT unicode(unnest(string_split(tgt, ''))) - 10240 AS c FROM nikl_pairs WHERE tgt IS NOT NULL), range(1, 9) r(d) WHERE c BETWEEN 0 AND 255 AND (c >> (d - 1)) & 1 = 1 GROUP BY 1""",
+    "prompt_roundtrip": f"""
+        WITH r AS (SELECT form, tables, braille, CASE WHEN segments IS NULL THEN [{{'t': tables[1], 'x': text}}] ELSE list_transform(segments, lambda s: {{'t': s.table_id, 'x': s.text}}) END AS own FROM ({_LATEST}) WHERE braille IS NOT NULL),
+        p AS (SELECT *, '<|tables|>' || array_to_string(tables, ',') || '<|braille|>' || braille AS prompt, '<|text|>' || array_to_string(list_transform(own, lambda s: '⟨' || s.t || '⟩' || s.x), chr(10)) AS completion FROM r)
+        SELECT form, count(*) AS records, sum((len(list_filter(own, lambda s: contains(s.x, chr(10)))) = 0)::INT)::BIGINT AS strict_same, sum((len(list_filter(own, lambda s: contains(s.x, chr(10) || '⟨'))) = 0)::INT)::BIGINT AS loose_same,
+            sum(length(prompt))::BIGINT AS prompt_chars, sum(2 * length(completion) + 32)::BIGINT AS token_room FROM p GROUP BY form""",
+    "normal_forms": f"""
+        SELECT count(*) AS documents, sum((nfc_normalize(text) <> text)::INT)::BIGINT AS changed, count(DISTINCT regexp_replace({_LOOSE.format(x='text')}, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}]', '', 'g')) AS bare_forms FROM documents WHERE text IS NOT NULL""",
+    "dot_flip_audit": f"""
+        WITH c AS (SELECT id, generate_subscripts(string_split(braille, ''), 1) - 1 AS pos, unicode(unnest(string_split(braille, ''))) - 10240 AS v FROM ({_LATEST}) WHERE split = 'eval' AND braille IS NOT NULL),
+        m AS (SELECT id, pos, sum(({_U.format(x="'noise:' || id || ':' || pos || ':' || d")} < 0.02::DOUBLE)::INT) AS n FROM c, range(6) r(d) WHERE v BETWEEN 0 AND 255 GROUP BY 1, 2)
+        SELECT count(DISTINCT id) AS records, count(*) AS cells, sum((n > 0)::INT)::BIGINT AS changed, sum(n)::BIGINT AS flips FROM m""",
     "splice_insert": f"""
         WITH r AS (SELECT id, text, string_split(text, ' ') AS w, {_U.format(x="'splice:' || id")} AS u FROM ({_LATEST}) WHERE split = 'train'), k AS (SELECT *, least(floor(u * (len(w) - 1))::INT + 1, len(w) - 1) AS cutpos FROM r)
         SELECT id, sha1(CASE WHEN len(w) < 2 THEN text ELSE array_to_string(list_concat(list_concat(w[1:cutpos], ['⟪x⟫']), w[cutpos + 1:len(w)]), ' ') END) AS spliced FROM k""",

@@ -274,6 +274,9 @@ ORACLES = {
         WITH s AS (SELECT * FROM ({_SCORES}) WHERE edit IS NOT NULL)
         SELECT a.model, count(*) AS units, round(sum(b.edit) / sum(b.n_ref) - sum(a.edit) / sum(a.n_ref), 9) AS difference
         FROM s a JOIN s b ON a.rec_id = b.rec_id AND a.table_id = b.table_id AND a.model = b.model AND a.cond IS NOT DISTINCT FROM b.cond AND a.decoding = 'greedy' AND b.decoding = 'vbon20' GROUP BY a.model""",
+    "pool_checks": f"""
+        WITH c AS (SELECT unnest(cands) AS c, generate_subscripts(cands, 1) - 1 AS idx FROM ({_ONE_POOL}))
+        SELECT c.finish AS finish, count(*) AS candidates, sum((coalesce(length(c.text), 0) = 0)::INT)::BIGINT AS empty, sum((c.lp IS NULL)::INT)::BIGINT AS no_lp, sum((c.greedy AND idx <> 0)::INT)::BIGINT AS greedy_late FROM c GROUP BY 1""",
     "repeated_pools": "SELECT id, count(*) AS deliveries, count(DISTINCT to_json(cands)::VARCHAR) AS forms FROM cand_pools GROUP BY id HAVING count(*) > 1",
     "micro_macro_summary": f"""
         SELECT model, decoding, count(*) AS n, round(sum(edit) / sum(n_ref), 9) AS micro_cer, round(avg(cer), 12) AS macro_cer, sum((edit = 0)::INT)::BIGINT AS exact, sum(fallback::INT)::BIGINT AS fallbacks,
