@@ -333,3 +333,15 @@ def test_queries_are_registered():
 
     names = set(llm.queries())
     assert {"p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p6_containers", "p7_mixture", "p8_found"} <= names and set(llm.oracles()) <= names
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p5_found"])
+def test_found_cases_by_sql(spark, name):
+    from tests.compare import compare, duck
+    from tests.conftest import SF
+    from textloom import llm
+
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    said, _ = compare(spark, duck(SF), name, llm.queries()[name], llm.oracles()[name], SF)
+    assert said.startswith("ok"), said

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import crosssplit, leakage, mixing, neardup, packing, pii, quota, sentences
+from textloom.llm import crosssplit, leakage, mixing, neardup, packing, pii, quota, sentences, sql as by_sql
 from textloom.session import shipping
 
 _MODULES = [leakage, neardup, crosssplit, sentences, quota, packing, mixing, pii]
@@ -13,4 +13,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict[str, str]:
-    return {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
+    return by_sql.ORACLES | {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
