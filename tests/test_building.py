@@ -76,7 +76,7 @@ def test_prose():
     assert s == "We see that n is big, ⟦math⟧ in Fig. ⟦xref⟧, ok–so"
     assert P.guarded_sentences('See Fig. 3. Then cf. A here. "B" ends! (d)') == ["See Fig. 3.", "Then cf. A here.", '"B" ends!', "(d)"]
     assert P.packed("aaa bbb " + "c" * 30 + " ddd 123 456", 10, 3) == (["aaa bbb", "ddd 123"], 0, 1, 1)
-    text = "A first sentence of some length stands here. Ok. " + "a clause of the long one, " * 12 + "end."
+    text = "A first sentence of some length stands here. Ok. " + "A clause of the long one, " * 12 + "end."
     spans = P.cut_units(text, 100)
     assert len(spans) > 2 and text[spans[0][0] : spans[0][1]].endswith("Ok.") and "".join(text[a:b] for a, b in spans).replace(" ", "") == text.replace(" ", "")
     assert P.cut_units("", 50) == [] and P.cut_units(" \n ", 50) == []
@@ -90,7 +90,7 @@ def test_mathml():
     frac = "<math><mfrac><mi>x</mi><msup><mi>y</mi><mn>2</mn></msup></mfrac></math>"
     assert P.linear_mathml(frac) == "frac{x}{y^{2}}" and P.linear_mathml("<m") is None and P.linear_mathml(None) is None
     assert P.linear_mathml("<math><mi>ℝ</mi><mo>&nope;</mo><mroot><mi>a</mi><mn>3</mn></mroot><msqrt><mi>𝑏</mi></msqrt></math>") == "bb:R&nope;root{a}{3}sqrt{b}"
-    assert P.linear_mathml('<math><semantics><mover><mi>x</mi><mo>^</mo></mover><annotation>zz</annotation></semantics></math>') == "x^{hat}"
+    assert P.linear_mathml('<math><semantics><mover><mi>x</mi><mo>^</mo></mover><annotation>zz</annotation></semantics></math>') == "x^{^}"
 
 
 def test_native_columns(spark):
@@ -225,3 +225,12 @@ def test_temporary_tables_go(spark):
         path = S._written[-1][1].removeprefix("file://")
         assert inner.count() == 5 and os.path.isdir(path)
     assert len(S._written) == before and not os.path.isdir(path) and kept.count() == 3
+
+
+def test_codes_of_languages(spark):
+    from textloom.sources import corpora as C
+
+    langs = spark.createDataFrame([("zh", "zho"), ("sr", "srp"), ("en", "eng"), ("no", "nob"), ("xx", "xxx"), ("ks", "kas")], "lang string, lang3 string")
+    codes = spark.createDataFrame([("zho_Hant",), ("zho_Hans",), ("srp_Cyrl",), ("srp_Latn",), ("eng_Latn",), ("nno_Latn",), ("kas_Deva",), ("kas_Arab",)], "code string")
+    got = {r["lang"]: r["code"] for r in C.best_code(langs, codes, ["Latn"], {"zh": "Hant"}, {"no": "nno_Latn", "en": "eng_Brai"}).collect()}
+    assert got == {"zh": "zho_Hant", "sr": "srp_Latn", "no": "nno_Latn", "ks": "kas_Arab"}

@@ -23,9 +23,11 @@ MATH_OPEN, MATH_CLOSE = "⠸⠩", "⠸⠱"
 MATH, XREF = "⟦math⟧", "⟦xref⟧"
 # Commands of which nothing stays, blocks of which nothing stays, and words that a period may follow inside a sentence.
 DROPPED = "label citep citet cite input vspace hspace footnote TODO mainsec maintab".split()
-KEPT = "textbf textit emph texttt textsc textrm underline mbox text".split()
-BLOCKS = "table figure tabular tabularx equation align aligned proposition assumption proof remark corollary itemize enumerate".split()
+KEPT = "emph textbf textit texttt text brc".split()
+BLOCKS = "table table* figure figure* tabular tabularx tabular* equation align aligned proposition assumption proof remark corollary itemize enumerate".split()
 SHORTENED = ["Supp", "Prop", "Props", "Eq", "Eqs", "Fig", "Figs", "Tab", "Ref", "Sec", "App", "cf", "e.g", "i.e", "vs", "et al", "approx", "No"]
+# Where a unit may be cut after a sentence.
+SENTENCE_END = re.compile(r"""(?<=[.!?])\s+(?=["'(\[A-Z0-9])""")
 # Distinctions that cells don't carry.
 UNWRITTEN = {"—": "-", "–": "-", "“": '"', "”": '"', "‘": "'", "’": "'", "…": "..."}
 # Other codes of languages.
@@ -114,7 +116,7 @@ def numerals(kind: Column, u: Column, v: Column) -> Column:
 def strip_latex(source: str) -> str:
     """Running prose of a LaTeX body: formulas and references as marks, floats, citations and commands dropped, arguments of text commands kept."""
     s = re.sub(r"(?<!\\)%.*", "", source)
-    s = re.sub(rf"\\begin\{{((?:{'|'.join(BLOCKS)})\*?)\}}.*?\\end\{{\1\}}", " ", s, flags=re.S)
+    s = re.sub(rf"\\begin\{{({'|'.join(map(re.escape, BLOCKS))})\}}.*?\\end\{{\1\}}", " ", s, flags=re.S)
     s = re.sub(r"\\\[.*?\\\]", MATH, s, flags=re.S)
     s = re.sub(r"\$([A-Za-z])\$|\$[^$]*\$", lambda m: m.group(1) or MATH, s)
     s = re.sub(r"\\S(?![a-zA-Z])|\\(?:ref|eqref|autoref|[Cc]ref)\{[^}]*\}", XREF, s)
@@ -144,7 +146,7 @@ def cut_units(text: str, most: int, least: int = 40) -> list[tuple[int, int]]:
     """(start, end) of units: sentences; longer ones cut near their middle after '; ' or ', ', shorter ones joined to the unit before in their line."""
     spans: list[list[int]] = []
     for line in re.finditer(r"[^\n]+", text):
-        ends = [line.start() + m.end() for m in re.finditer(r"[.!?][”\"')\]]*\s+", line.group())]
+        ends = [line.start() + m.end() for m in SENTENCE_END.finditer(line.group())]
         first = True
         for a, b in zip([line.start(), *ends], [*ends, line.end()]):
             while len(text[a:b].strip()) > most:
@@ -231,11 +233,16 @@ def word_diffs(ref: str, hyp: str) -> list[tuple[str, str]]:
 
 # ---- MathML
 
-# Accents as their plain marks, and the alphabets of letters by the words of their Unicode names.
-_ACCENTS = {"̂": "hat", "̃": "tilde", "̄": "bar", "̇": "dot", "̈": "ddot", "⃗": "vec", "^": "hat", "~": "tilde", "¯": "bar", "˙": "dot", "¨": "ddot", "→": "vec"}
+# Accents by their plain marks, characters that stand for others or for nothing, alphabets of letters by the words of their Unicode names and by MathML's variants.
+_ACCENTS = {
+    "^": "^", "ˆ": "^", "\u0302": "^", "¯": "¯", "‾": "¯", "\u0304": "¯", "\u0305": "¯", "~": "~", "˜": "~", "\u0303": "~", "→": "→", "\u20d7": "→",
+    "˙": "˙", "\u0307": "˙", "¨": "¨", "\u0308": "¨", "ˇ": "ˇ", "\u030c": "ˇ",
+}
+_SAME = {"∼": "~", "∣": "|", "−": "-", "⋅": "·", "∗": "*", "ϵ": "ε", "ϕ": "φ", "′": "'"} | dict.fromkeys("\\ \u2061\u2062\u2063\u2064\u00a0\u2009\u2005\u205f\u200b", "")
 _ALPHABETS = (("DOUBLE-STRUCK", "bb"), ("BLACK-LETTER", "frak"), ("FRAKTUR", "frak"), ("SCRIPT", "cal"), ("BOLD", "bf"), ("SANS-SERIF", "sf"), ("MONOSPACE", "tt"))
-_VARIANTS = {"double-struck": "bb", "fraktur": "frak", "script": "cal", "bold": "bf", "sans-serif": "sf", "monospace": "tt"}
-_SAME = {"−": "-", "∗": "*", "′": "'", "⋅": "·"}
+_VARIANTS = {
+    "double-struck": "bb", "script": "cal", "fraktur": "frak", "bold": "bf", "bold-italic": "bf", "sans-serif": "sf", "monospace": "tt", "bold-script": "cal", "bold-fraktur": "frak",
+}
 
 
 def _math_text(text: str, variant: str | None) -> str:
@@ -244,12 +251,16 @@ def _math_text(text: str, variant: str | None) -> str:
         if unicodedata.combining(ch) and ch in _ACCENTS and out:
             out.append(f"^{{{_ACCENTS[ch]}}}")
             continue
+        ch = unicodedata.normalize("NFC", ch)
         ch = _SAME.get(ch, ch)
+        if not ch.isalpha():
+            out.append(ch)
+            continue
         name = unicodedata.name(ch, "")
         alphabet = next((tag for word, tag in _ALPHABETS if word in name and ("MATHEMATICAL" in name or word in ("DOUBLE-STRUCK", "BLACK-LETTER", "SCRIPT"))), None)
         base = unicodedata.normalize("NFKC", ch) if alphabet or "MATHEMATICAL" in name else ch
         alphabet = alphabet or (_VARIANTS.get(variant or "") if base.isalpha() else None)
-        out.append(f"{alphabet}:{base}" if alphabet and ch.isalpha() else base)
+        out.append(f"{alphabet}:{base}" if alphabet else base)
     return "".join(out)
 
 

@@ -68,10 +68,20 @@ def normalised_for(lang: str, text: str):
     return F.when(code.isin("th", "lo", "km", "my"), spaced).when(code == "bn", joined).otherwise(x)
 
 
-def best_code(langs: DataFrame, codes: DataFrame, scripts: list[str]) -> DataFrame:
-    """(lang, code): for each language its code ``xxx_Script`` of the first preferred script, else the first by name."""
-    c = codes.withColumn("lang3", F.split_part("code", F.lit("_"), F.lit(1))).withColumn("_s", F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(s) for s in scripts]), F.split_part("code", F.lit("_"), F.lit(2))), F.lit(0)), F.lit(99)))
-    return langs.join(c, "lang3").groupBy("lang").agg(F.min_by("code", F.struct("_s", "code")).alias("code"))
+def best_code(langs: DataFrame, codes: DataFrame, scripts: list[str], preferred: dict[str, str] | None = None, overrides: dict[str, str] | None = None) -> DataFrame:
+    """(lang, code): the code ``xxx_Script`` of each (lang, lang3).
+
+    An override of a language counts alone, if it is one of the codes; else the
+    language's preferred script comes first, then ``scripts`` in order, then names.
+    A language without a code isn't there.
+    """
+    c = codes.select("code", F.split_part("code", F.lit("_"), F.lit(1)).alias("lang3"), F.split_part("code", F.lit("_"), F.lit(2)).alias("_script"))
+    looked_up = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[F.col("lang")] if m else F.lit(None).cast("string")
+    at = F.array_position(F.array(*[F.lit(s) for s in scripts]), F.col("_script")) if scripts else F.lit(0)
+    rank = F.when(F.col("_script") == looked_up(preferred), 0).otherwise(F.coalesce(F.nullif(at, F.lit(0)), F.lit(99)))
+    named = langs.withColumn("_own", looked_up(overrides))
+    free = named.where("_own is null").join(c, "lang3").groupBy("lang").agg(F.min_by("code", F.struct(rank, "code")).alias("code"))
+    return free.unionByName(named.where("_own is not null").join(c.select(F.col("code").alias("_own")), "_own", "left_semi").select("lang", F.col("_own").alias("code")))
 
 
 def read_log(spark: SparkSession, path: str, pattern: str) -> DataFrame:
