@@ -119,6 +119,12 @@ def test_seats_by_priorities(cells, size):
     assert Q.seats(rows, size) == want
 
 
+def test_tied_priorities_go_to_the_smaller_cell():
+    cells = [(1, 0, 0), (1, 0, 0), (17, 1, 1), (45, 2, 2), (15, 1, 1)]
+    rows = [(c, w / 79, f, n) for c, (w, f, n) in enumerate(cells)]
+    assert Q.seats(rows, 3) == {0: 0, 1: 0, 2: 1, 3: 2, 4: 0}
+
+
 def test_quota(spark):
     recs = spark.createDataFrame(
         [(f"r{i:04}", ["a" if i % 3 else "b", "z"], "S1", "sentence" if i % 2 else None) for i in range(600)] + [("r0001", ["a"], "S1", "sentence"), (None, ["a"], "S1", "sentence"), ("q", None, "S1", "sentence")],

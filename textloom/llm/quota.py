@@ -61,7 +61,7 @@ def seats(cells: list[tuple[int, float, int, int]], size: int) -> dict[int, int]
                 high = mid
             else:
                 low = mid
-        now = at(low)
+        now = at(low * (1 - 1e-9))  # a little before: rounding must not decide ties, the queue does
         left -= sum(now.values()) - base
         got.update(now)
         queue = [(priority(c, got[c] + 1), c) for c in got if got[c] < limit[c]]
