@@ -286,6 +286,24 @@ def test_key_filter_misses_nothing():
     assert known.holds(keys[:4000]).all() and known.holds(keys[4000:]).mean() < 0.02
 
 
+def test_cross_split_shuffles_few_texts_and_no_features(spark):
+    """Texts that no pair needs stay where they are; classes meet their codes before features are made."""
+    rng = random.Random(14)
+    rows = [(f"r{i:04}", "eval" if i % 4 == 0 else "train", "c", random_text(rng, 600)) for i in range(1600)]
+    rows += [("t", "train", "c", rows[0][3][:300] + "xx" + rows[0][3][300:]), rows[1], ("r0001", "train", "c", rows[4][3])]
+    stages = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+        none = spark._jvm.java.util.ArrayList()
+        known = stages.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return sum(known.apply(i).shuffleWriteBytes() for i in range(known.size()))
+
+    before = written()
+    assert found(spark, rows) == {("t", "r0000"), ("r0001", "r0004")}
+    assert written() - before < 1.9 * sum(len(r[3]) for r in rows)
+
+
 def test_copies_of_linked_texts_stay(spark):
     rng = random.Random(7)
     base = random_text(rng, 100)

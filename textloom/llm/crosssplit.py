@@ -30,6 +30,7 @@ import functools
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
@@ -48,8 +49,8 @@ _BINS, _PARITIES = 128, 512
 _WORDS = _PARITIES // 64
 _SKETCH = OnePermutation(_BINS)
 
-_LIGHT = "id string, train boolean, codes array<string>, source string, content binary"
-_FEATURES = "id string, content binary, runs int, s0 long, s1 long, parity array<long>, seeds array<long>"
+_LIGHT = "id string, train boolean, codes array<string>, source string, exact long, content binary"
+_FEATURES = "id string, content binary, train_codes array<long>, eval_codes array<long>, runs int, s0 long, s1 long, parity array<long>, seeds array<long>"
 
 
 def _plain(texts: list[str]) -> tuple[list[int], list[str]]:
@@ -61,9 +62,9 @@ def _plain(texts: list[str]) -> tuple[list[int], list[str]]:
 
 def _contents(batches):
     for batch in batches:
-        chosen, plain = _plain(batch.column(4).to_pylist())
+        chosen, plain = _plain(batch.column(5).to_pylist())
         take = pa.array(chosen, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(4)), pa.array([xxhash.xxh3_128_digest(t) for t in plain], pa.binary())], names=_names(_LIGHT))
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(5)), pa.array([xxhash.xxh3_128_digest(t) for t in plain], pa.binary())], names=_names(_LIGHT))
 
 
 @functools.lru_cache(4096)
@@ -105,21 +106,26 @@ def parities(runs: list[np.ndarray]) -> np.ndarray:
 
 
 def _features(similarity: float):
+    """From rows (id, content, train_codes, eval_codes, text)."""
+
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            contents, texts = batch.column(1).to_pylist(), batch.column(4).to_pylist()
             for a, b in batches_by_size(texts, 400_000):
                 chosen, plain = _plain(texts[a:b])
-                if not chosen:
+                own = [i for i, t in zip(chosen, plain) if xxhash.xxh3_128_digest(t) == contents[a + i]]
+                if not own:
                     continue
+                if len(own) < len(chosen):  # texts under one id that only their 64-bit hash has in common
+                    plain = [t for i, t in zip(chosen, plain) if i in set(own)]
+                take = pa.array([a + i for i in own], pa.int64())
                 runs = [distinct_sorted(h) for h in runs_by_text(plain, K)]
                 bits = _SKETCH.bits(runs).view(np.int64)
                 seeds = [fingerprints(r, h, similarity) for r, h in zip(runs, runs_by_text(plain, SEED))]
                 ends = np.cumsum([0] + [len(s) for s in seeds]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(pa.array([a + i for i in chosen])),
-                        pa.array([xxhash.xxh3_128_digest(t) for t in plain], pa.binary()),
+                        *(batch.column(i).take(take) for i in range(4)),
                         pa.array([len(h) for h in runs], pa.int32()),
                         pa.array(bits[:, 0]),
                         pa.array(bits[:, 1]),
@@ -309,6 +315,18 @@ def _check(similarity: float):
     return run
 
 
+def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows whose id may be among the wanted ones; a bit filter leaves most others out, so that their texts aren't shuffled."""
+    wanted = wanted.select(F.xxhash64("id"))
+    known = rows.sparkSession.sparkContext.broadcast(KeyFilter.of(wanted, wanted.count()))
+
+    @F.pandas_udf("boolean")
+    def held(key: pd.Series) -> pd.Series:
+        return pd.Series(known.value.holds(key.to_numpy().view(np.uint64)))
+
+    return rows.where(held(F.xxhash64("id")))
+
+
 def overlaps(records: DataFrame, *, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(members, links): records with their class and side, and linked (train class, eval class) pairs.
 
@@ -319,6 +337,7 @@ def overlaps(records: DataFrame, *, similarity: float = SIMILARITY) -> tuple[Dat
         (F.col("split") == "train").alias("train"),
         F.coalesce(F.array_distinct(F.expr("filter(tables, x -> x is not null)")), F.array().cast("array<string>")).alias("codes"),
         F.col("source").cast("string").alias("source"),
+        F.xxhash64("text").alias("exact"),
         F.col("text").alias("text"),
     ).where("text is not null and id is not null and (split in ('train', 'dev', 'eval'))")
     found = cut(base.mapInArrow(_contents, _LIGHT))
@@ -326,10 +345,12 @@ def overlaps(records: DataFrame, *, similarity: float = SIMILARITY) -> tuple[Dat
     codes = coded.groupBy("content").agg(
         F.collect_list(F.when(F.col("train"), F.xxhash64("code"))).alias("train_codes"), F.collect_list(F.when(~F.col("train"), F.xxhash64("code"))).alias("eval_codes")
     )
-    reps = found.groupBy("content").agg(F.min("id").alias("id")).join(codes, "content")
-    featured = base.select("id", "text").mapInArrow(_features(similarity), _FEATURES)
-    classes = cut(featured.join(reps, ["id", "content"]).dropDuplicates(["id", "content"]).withColumn("cls", F.monotonically_increasing_id()))
-    members = found.join(classes.select("content", "cls"), "content").drop("content").distinct()
+    reps = found.groupBy("content").agg(F.min(F.struct("id", "exact")).alias("first")).join(codes, "content").select("first.*", "content", "train_codes", "eval_codes")
+    # Texts go to their class before they become features, as these are twice the size.
+    drawn = base.select("id", "exact", "text").join(reps, ["id", "exact"]).dropDuplicates(["id", "exact", "content"])
+    featured = drawn.select("id", "content", "train_codes", "eval_codes", "text").mapInArrow(_features(similarity), _FEATURES)
+    classes = cut(featured.withColumn("cls", F.monotonically_increasing_id()))
+    members = found.join(classes.select("content", "cls"), "content").drop("content", "exact").distinct()
 
     pairs = candidate_pairs(classes, similarity)
 
@@ -342,7 +363,7 @@ def overlaps(records: DataFrame, *, similarity: float = SIMILARITY) -> tuple[Dat
     near = cut(near.join(side("t", "id", "content"), "t").join(side("e", "id", "content"), "e"))
     # The texts that are compared, fetched once.
     wanted = near.select(F.explode(F.array("t_id", "e_id")).alias("id")).distinct()
-    text = cut(base.select("id", "text").join(wanted, "id", "left_semi").distinct())
+    text = cut(_maybe(base.select("id", "text"), wanted).join(wanted, "id", "left_semi").distinct())
     one = near.join(text.select(F.col("id").alias("t_id"), F.col("text").alias("x")), "t_id")
     two = one.join(text.select(F.col("id").alias("e_id"), F.col("text").alias("y")), "e_id")
     across = two.select("t", "e", "x", "y", "t_content", "e_content").mapInArrow(_check(similarity), _LINKS)
