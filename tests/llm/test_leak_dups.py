@@ -151,6 +151,21 @@ def test_groups(spark, tmp_path):
         assert got[a]["group_id"] == got[b]["group_id"]
 
 
+def test_bands_are_never_broadcast(spark):
+    """Their size is underestimated by the length of the array, so the driver would have to hold all of them."""
+    rng = random.Random(15)
+    texts = [random_text(rng, 60) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + [t + "x" for t in texts])], "doc_id long, text string")
+    _, links = D.near_duplicates(docs)
+    assert {(r["a"], r["b"]) for r in links.collect()} == {(i, 200 + i) for i in range(200)}
+    lines = links._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    depths = [len(x) - len(x.lstrip(" :+-*()0123456789")) for x in lines]
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            below = next((j for j in range(i + 1, len(lines)) if depths[j] <= depths[i]), len(lines))
+            assert not any("explode(bands" in y for y in lines[i:below])
+
+
 def records():
     codes = ["c1", "c2", "c3", "c4"]
     base = [sentence(RNG.choice((5, 12, 30))) for _ in range(25)]

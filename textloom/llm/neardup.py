@@ -280,7 +280,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     banded = reps.select("key", F.explode("bands").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     signed = reps.select(*_ROW, _population("bits").alias("pop"))
-    rows = banded.join(sizes, "bucket").join(signed, "key")
+    # An exploded array counts as one element in Spark's estimates; without the hints all bands might be broadcast through the driver.
+    rows = banded.hint("merge").join(sizes, "bucket").join(signed.hint("merge"), "key")
     tiles = _tiled(rows, similarity, tile, exact)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = tiles.repartition(parts, "bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(_tiles(similarity, exact), "a long, b long").distinct()
